@@ -30,15 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import bounded_batches
+
 END = "</w>"
 #: Pieces of text a worker remembers before it starts anew, and pieces whose
-#: words share one trie; they bound its memory.
-MAX_MEMO, PER_TRIE = 600_000, 100_000
+#: words share one trie, and texts that are learned from at once; they bound its memory.
+MAX_MEMO, PER_TRIE, SLICE = 500_000, 100_000, 1000
 #: Remembered pairs of tokens.
-MAX_PAIRS = 500_000
+MAX_PAIRS = 300_000
 #: Characters at which str.split() cuts though they are no white space to the tokenizer.
 SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 
@@ -113,8 +115,8 @@ class WordBpe:
 
     # -- the trie --
 
-    def walk(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of distinct words (spelled in the byte alphabet).
+    def walk(self, words: list[str]) -> dict[str, bytes]:
+        """Ids (as 32-bit integers) of distinct words (spelled in the byte alphabet).
 
         Sorted words list a trie depth-first: a word enters it at the node
         where it leaves the word before. ``lasts`` and ``backs`` hold, for each
@@ -122,7 +124,7 @@ class WordBpe:
         token begins; what lies above that node is not worked out again.
         """
         whole, apart, longest, ids = self.whole, self.apart, self.longest, self.ids
-        out: dict[str, list[int]] = {}
+        out: dict[str, bytes] = {}
         lasts, backs, before = [""], [0], ""
         for word in sorted(words):
             size = len(word)
@@ -147,7 +149,7 @@ class WordBpe:
                     while start:
                         found.append(ids[lasts[start]])
                         start = backs[start]
-                    out[word] = found[::-1]
+                    out[word] = array("i", found[::-1]).tobytes()
                 else:
                     lasts.append(token)
                     backs.append(start)
@@ -172,24 +174,33 @@ class WordBpe:
             out.append((None, self.pieces(part) if SEPARATORS & {*part} else part.split()))
         return out
 
+    def _words(self, chunk: str) -> list[str]:
+        """Normalized words of a piece; letters with one mark after them need no pattern."""
+        text = self.normalized(chunk)
+        if text.isalpha():
+            return [text]
+        if text[-1] in ".,;:!?" and text[:-1].isalpha():
+            return [text[:-1], text[-1]]
+        return self.words(text)
+
     def _learn(self, chunks: list[str]) -> None:
         """Ids of new pieces, by way of a trie of their distinct words."""
         for at in range(0, len(chunks), PER_TRIE):
-            found = [(c, self.words(self.normalized(c))) for c in chunks[at : at + PER_TRIE]]
-            spelled = {w: "".join(map(self.alphabet.__getitem__, w.encode())) for _, ws in found for w in ws}
+            found = [(c, self._words(c)) for c in chunks[at : at + PER_TRIE]]
+            spelled = {w: w if w.isascii() and w.isprintable() else "".join(map(self.alphabet.__getitem__, w.encode())) for _, ws in found for w in ws}
             ids = self.walk([*{*spelled.values()}])
             for chunk, words in found:
-                self.memo[chunk] = array("i", [i for w in words for i in ids[spelled[w]]]).tobytes()
+                self.memo[chunk] = b"".join([ids[spelled[w]] for w in words])
 
     def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text. New words of all texts share a trie."""
         if len(self.memo) > self.max_memo:
             self.memo.clear()
-        memo, fresh = self.memo, set()
+        memo, met = self.memo, set()
         for text in texts:
             for _, chunks in self._parts(text):
-                fresh.update(c for c in chunks if c not in memo)
-        self._learn(sorted(fresh))
+                met.update(chunks)
+        self._learn([c for c in met if c not in memo])
         for text in texts:
             yield np.frombuffer(b"".join(ids if ids is not None else b"".join(map(memo.__getitem__, chunks)) for ids, chunks in self._parts(text)), np.int32)
 
@@ -207,42 +218,28 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode_column(column: Column | str, path: str) -> Column:
-    """array<int> of token ids of a text column."""
+def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` (array<int>) of a text column and ``decoded``, the text of those ids."""
 
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path)
         for texts in batches:
-            parts, ends = [], np.zeros(len(texts) + 1, np.int64)
-            for i, ids in enumerate(bpe.encode_batch([t or "" for t in texts.to_pylist()])):
-                parts.append(ids)
-                ends[i + 1] = ends[i] + len(ids)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, np.int32)])))
-
-    return encode(column)
-
-
-def decode_column(column: Column | str, path: str) -> Column:
-    """Text of a column of token ids; null ids decode to the empty text."""
-
-    @F.arrow_udf("string")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = load(path)
-        for ids in batches:
-            flat, ends = ids.values.to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_numpy().tolist()
-            valid = ids.is_valid().to_pylist()
-            yield pa.array([bpe.decode(flat[a:b]) if ok else "" for a, b, ok in zip(ends, ends[1:], valid, strict=False)], pa.string())
-
-    return decode(column)
-
-
-def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array<int>) and ``decoded`` (string)."""
-    return docs.withColumn("ids", encode_column(F.col(text), path)).withColumn("decoded", decode_column(F.col("ids"), path))
-
-
-def digest(found: DataFrame) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of encoded and decoded documents."""
+            parts, ends, decoded = [np.empty(0, np.int32)], [0], []
+            for at in range(0, len(texts), SLICE):
+                for ids in bpe.encode_batch([t or "" for t in texts.slice(at, SLICE).to_pylist()]):
+                    parts.append(ids)
+                    ends.append(ends[-1] + len(ids))
+                    decoded.append(bpe.decode(ids.tolist()))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
+            yield pa.StructArray.from_arrays([ids, pa.array(decoded, pa.string())], ["ids", "decoded"])
+
+    bounded_batches(docs.sparkSession)
+    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    return docs.select(*kept, coded(docs[text]).alias("__coded")).select(*kept, "__coded.*")
+
+
+def digest(found: DataFrame, *more: str) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 of encoded and decoded documents, and columns as they are."""
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *more)

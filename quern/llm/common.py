@@ -64,3 +64,11 @@ def ascii_lower(column):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 32 << 20) -> None:
+    """Bound what an Arrow batch holds, unless the session's own bounds are smaller."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or int(now) <= 0 or int(now) > most:
+            spark.conf.set(key, most)
