@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from quern.llm.common import bounded_batches
 
 END = "</w>"
-#: Pieces of text a worker remembers before it starts anew, and pieces whose
+#: Pieces of text a worker remembers, twice over, before it forgets, and pieces whose
 #: words share one trie, and texts that are learned from at once; they bound its memory.
-MAX_MEMO, PER_TRIE, SLICE = 500_000, 100_000, 1000
+MAX_MEMO, PER_TRIE, SLICE = 400_000, 100_000, 1000
 #: Remembered pairs of tokens.
 MAX_PAIRS = 300_000
 #: Characters at which str.split() cuts though they are no white space to the tokenizer.
@@ -75,6 +75,7 @@ class WordBpe:
         self.longest = max(len(t.removesuffix(END)) for t in self.ids)
         self.max_memo = max_memo
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.apart: dict[tuple[str, str], bool] = {}
         #: tokens whose own encoding is themselves; only these can end a prefix
         self.whole = {t for t in self.ids if self._merge(self._symbols(t)) == [t]}
@@ -132,10 +133,13 @@ class WordBpe:
             while depth < most and word[depth] == before[depth]:
                 depth += 1
             del lasts[depth + 1 :], backs[depth + 1 :]
+            start = backs[depth]
             while depth < size:
                 depth += 1
                 mark = END if depth == size else ""
-                for start in range(max(0, depth - longest), depth):
+                # one start is right, so the order only matters for speed: most last tokens grow by a
+                # character or begin anew
+                for start in (start, *range(start + 1, depth), *range(start - 1, max(-1, depth - longest - 1), -1)):
                     if (token := word[start:depth] + mark) in whole:
                         left = lasts[start]
                         if (ok := apart.get((left, token))) is None:
@@ -145,10 +149,10 @@ class WordBpe:
                 else:
                     raise AssertionError(f"no last token for {word[:depth]!r}")
                 if mark:
-                    found = [ids[token]]
-                    while start:
-                        found.append(ids[lasts[start]])
-                        start = backs[start]
+                    found, at = [ids[token]], start
+                    while at:
+                        found.append(ids[lasts[at]])
+                        at = backs[at]
                     out[word] = array("i", found[::-1]).tobytes()
                 else:
                     lasts.append(token)
@@ -194,13 +198,15 @@ class WordBpe:
 
     def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text. New words of all texts share a trie."""
-        if len(self.memo) > self.max_memo:
-            self.memo.clear()
-        memo, met = self.memo, set()
+        if len(self.memo) > self.max_memo:  # what is met again comes back from the older half
+            self.memo, self.older = {}, self.memo
+        memo, older, met = self.memo, self.older, set()
         for text in texts:
             for _, chunks in self._parts(text):
                 met.update(chunks)
-        self._learn([c for c in met if c not in memo])
+        fresh = [c for c in met if c not in memo]
+        memo.update((c, older[c]) for c in fresh if c in older)
+        self._learn([c for c in fresh if c not in older])
         for text in texts:
             yield np.frombuffer(b"".join(ids if ids is not None else b"".join(map(memo.__getitem__, chunks)) for ids, chunks in self._parts(text)), np.int32)
 
