@@ -39,13 +39,13 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import ascii_lower
+from quern.llm.common import ascii_lower, written
 
 #: Short notices by SPDX identifier; public, standard wordings.
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.",
+    "BSD-3-Clause": "Licensed under the BSD 3-Clause License.",
     "CC-BY-4.0": "Licensed under CC BY 4.0, Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal.",
@@ -53,10 +53,12 @@ TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
+    "MPL-2.0": "Licensed under the Mozilla Public License, version 2.0.",
     "Proprietary": "Copyright. All rights reserved.",
 }
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Words that texts are full of, most frequent first: the first that do not tell a notice.
+FREQUENT = "the of and to in a is for by with this or are all under use work 3 2 version".split()
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 THRESHOLD = 0.6
 
@@ -72,7 +74,8 @@ def weights(templates: dict[str, str], threshold: float) -> tuple[dict[str, floa
         norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
         rows += [(k, t, n * idf[t] / norm) for t, n in c.items()]
     common: set[str] = set()
-    for term in sorted(idf, key=lambda t: (-df[t], len(t), t)):
+    place = {t: i for i, t in enumerate(FREQUENT)}
+    for term in sorted(idf, key=lambda t: (place.get(t, len(place)), -df[t], len(t), t)):
         share = Counter()
         for k, t, w in rows:
             if t in common or t == term:
@@ -92,12 +95,13 @@ def matches(units: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
     body = ascii_lower(F.col("body"))
     terms = units.where(body.rlike(pattern)).select("key", "line", F.explode(F.regexp_extract_all(body, F.lit(TERM), F.lit(0))).alias("term"))
     counts = terms.groupBy("key", "line", "term").agg(F.count("*").alias("n"))
-    counts = counts.join(lengths, "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(unknown))).select("key", "line", "term", "w")
+    counts = counts.join(lengths, "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(unknown)))
     # every term counts towards the length, those of a template also towards the product with it
-    dots = counts.join(F.broadcast(known.select("license", "term", "weight")), "term")
-    norms = counts.groupBy("key", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    scored = dots.groupBy("key", "line", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot")).join(norms, ["key", "line"])
-    scored = scored.select("key", "line", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
+    shared = F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w")))
+    sparse = counts.groupBy("key", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), shared.alias("shared"))
+    sparse = sparse.select("key", "line", "norm", F.explode("shared").alias("x")).select("key", "line", "norm", "x.term", "x.w")
+    dots = sparse.join(F.broadcast(known.select("license", "term", "weight")), "term").groupBy("key", "line", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.max("norm").alias("norm"))
+    scored = dots.select("key", "line", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("license"))).alias("b")
     return scored.groupBy("key", "line").agg(best).select("key", "line", "b.license", (-F.col("b.s")).alias("score"))
 
@@ -121,6 +125,7 @@ def scan(files: DataFrame, doc_id: str = "doc_id", path: str = "path", text: str
     own = found.groupBy("key").agg(best).select("key", "b.license", (-F.col("b.s")).alias("score"))
     # rows without their text: ids, paths and what was found
     slim = rows.select(key, "doc_id", "path", is_file.alias("is_file"), directory(F.col("path")).alias("dir")).join(own, "key", "left")
+    slim = written(slim, "licenses")
     granted = slim.where("is_file AND license IS NOT NULL").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "license")).alias("g")).select("dir", F.col("g.license").alias("license"), (-F.col("g.s")).alias("score"))
     steps = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, 1, n), "/").alias("up")))
