@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import written
+from quern.llm.common import bounded_batches, written
 
 LEAST_WORDS = 8
 
@@ -111,6 +111,7 @@ def blocks(earlier: list[tuple[int, int, bytes, int]], later: list[tuple[int, in
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the text that is left, and ``n_lines``, ``n_removed`` and ``sources`` (ids of the earlier documents)."""
+    bounded_batches(docs.sparkSession, rows=500, size=8 << 20)
     me = F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("h"))
     line = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), F.trim(x).alias("body"))), lambda x: x["body"].rlike(r"\S"))
     lines = (
