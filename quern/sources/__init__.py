@@ -1 +1 @@
-
+"""Sources and sinks: files of the kinds the catalogue is made from."""
