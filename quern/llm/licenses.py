@@ -90,17 +90,22 @@ def matches(units: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
     spark = units.sparkSession
     idf, unknown, rows, telling = weights(templates, threshold)
     known = spark.createDataFrame([(k, t, w, idf[t]) for k, t, w in rows], "license string, term string, weight double, idf double")
-    lengths = F.broadcast(known.select("term", "idf").distinct())
     pattern = r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, telling)) + r")(?![a-z0-9])"
     body = ascii_lower(F.col("body"))
-    terms = units.where(body.rlike(pattern)).select("key", "line", F.explode(F.regexp_extract_all(body, F.lit(TERM), F.lit(0))).alias("term"))
-    counts = terms.groupBy("key", "line", "term").agg(F.count("*").alias("n"))
-    counts = counts.join(lengths, "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(unknown)))
-    # every term counts towards the length, those of a template also towards the product with it
-    shared = F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w")))
-    sparse = counts.groupBy("key", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), shared.alias("shared"))
-    sparse = sparse.select("key", "line", "norm", F.explode("shared").alias("x")).select("key", "line", "norm", "x.term", "x.w")
-    dots = sparse.join(F.broadcast(known.select("license", "term", "weight")), "term").groupBy("key", "line", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.max("norm").alias("norm"))
+    units = units.where(body.rlike(pattern)).select("key", "line", F.array_sort(F.regexp_extract_all(body, F.lit(TERM), F.lit(0))).alias("terms"))
+    # a unit's length takes all its terms, in order, so equal ones follow each other; only terms of templates leave the row
+    table = F.create_map(*[F.lit(x) for kv in sorted(idf.items()) for x in kv])
+    square = lambda run: F.pow(run["n"] * F.coalesce(F.try_element_at(table, run["term"]), F.lit(unknown)), 2)
+    state = lambda term, n, total: F.named_struct(F.lit("term"), term, F.lit("n"), n, F.lit("sum"), total)
+
+    def count(run: Column, term: Column) -> Column:
+        return F.when(run["term"] == term, state(run["term"], run["n"] + 1, run["sum"])).otherwise(state(term, F.lit(1.0), run["sum"] + square(run)))
+
+    begun = state(F.lit(""), F.lit(0.0), F.lit(0.0))
+    norm = F.aggregate("terms", begun, count, lambda run: F.sqrt(run["sum"] + square(run)))
+    shared = F.filter("terms", lambda t: F.map_contains_key(table, t))
+    sparse = units.select("key", "line", norm.alias("norm"), F.explode(shared).alias("term")).groupBy("key", "line", "term").agg(F.count("*").alias("n"), F.max("norm").alias("norm"))
+    dots = sparse.join(F.broadcast(known), "term").groupBy("key", "line", "license").agg(F.sum(F.col("n") * F.col("idf") * F.col("weight")).alias("dot"), F.max("norm").alias("norm"))
     scored = dots.select("key", "line", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("license"))).alias("b")
     return scored.groupBy("key", "line").agg(best).select("key", "line", "b.license", (-F.col("b.s")).alias("score"))
