@@ -120,7 +120,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
         .select("me", "rank", "x.line", F.unhex(F.md5("x.body")).alias("key"), F.regexp_count("x.body", F.lit(r"\S+")).alias("words"))
     )
     lines = written(lines, "lines")
-    shared = lines.groupBy("key").agg(F.min("me").alias("first"), F.max("me").alias("last")).where("first < last").select("key", "first")
+    # written, so that the join below has the frequent lines in an exchange of their own, which can be split
+    shared = written(lines.groupBy("key").agg(F.min("me").alias("first"), F.max("me").alias("last")).where("first < last").select("key", "first"), "lines-first")
     held = written(lines.join(shared, "key").distinct(), "lines-shared")
     sequences = held.groupBy("me").agg(F.sort_array(F.collect_list(F.struct("rank", "line", "key", "words"))).alias("lines"))
     pairs = held.where("first < me").select("first", "me").distinct()
