@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,15 +22,31 @@ def channels(css: Column) -> Column:
     return F.when(css.rlike(RGB), spelled).when(F.length(digits) > 0, hexed)
 
 
+def named(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once: a lambda variable stands for it, so the expression stays small."""
+    return F.element_at(F.transform(F.array(value), lambda x: then(x)), 1)
+
+
 def bucket(css: Column) -> Column:
     """Bucket of a colour: a grey ladder by lightness where there is little chroma, else by hue."""
-    rgb = channels(css)
-    r, g, b = (F.get(rgb, i) for i in range(3))
-    top, low = F.greatest(r, g, b), F.least(r, g, b)
-    light, chroma = (top + low) / 2, top - low
-    saturation = F.when(chroma == 0, F.lit(0.0)).otherwise(F.try_divide(chroma, 1 - F.abs(2 * light - 1)))
-    sixth = F.when(top == r, F.try_divide(g - b, chroma) % 6).when(top == g, F.try_divide(b - r, chroma) + 2).otherwise(F.try_divide(r - g, chroma) + 4)
-    hue = (sixth * 60 + 360) % 360
-    grey = F.coalesce(*[F.when(light > at, F.lit(name)) for at, name in GREYS], F.lit("black"))
-    tint = F.coalesce(*[F.when(hue < at, F.lit(name)) for at, name in HUES], F.lit("red"))
-    return F.when(rgb.isNull() | F.exists(rgb, lambda x: x.isNull()), F.lit(None).cast("string")).when((saturation < 0.15) | (chroma < 0.06), grey).otherwise(tint)
+
+    def spread(rgb: Column) -> Column:
+        r, g, b = (F.get(rgb, i) for i in range(3))
+        known = rgb.isNotNull() & ~F.coalesce(F.exists(rgb, lambda x: x.isNull()), F.lit(False))
+        fields = {"r": r, "g": g, "b": b, "top": F.greatest(r, g, b), "low": F.least(r, g, b)}
+        return F.when(known, F.named_struct(*[x for k, v in fields.items() for x in (F.lit(k), v)]))
+
+    def facts(c: Column) -> Column:
+        light, chroma = (c["top"] + c["low"]) / 2, c["top"] - c["low"]
+        saturation = F.when(chroma == 0, F.lit(0.0)).otherwise(F.try_divide(chroma, 1 - F.abs(2 * light - 1)))
+        part = lambda x, y: F.try_divide(x - y, chroma)
+        sixth = F.when(c["top"] == c["r"], part(c["g"], c["b"]) % 6).when(c["top"] == c["g"], part(c["b"], c["r"]) + 2).otherwise(part(c["r"], c["g"]) + 4)
+        fields = {"light": light, "grey": (saturation < 0.15) | (chroma < 0.06), "hue": (sixth * 60 + 360) % 360}
+        return F.when(c.isNotNull(), F.named_struct(*[x for k, v in fields.items() for x in (F.lit(k), v)]))
+
+    def name(f: Column) -> Column:
+        grey = F.coalesce(*[F.when(f["light"] > at, F.lit(n)) for at, n in GREYS], F.lit("black"))
+        tint = F.coalesce(*[F.when(f["hue"] < at, F.lit(n)) for at, n in HUES], F.lit("red"))
+        return F.when(f["grey"], grey).when(f.isNotNull(), tint)
+
+    return named(channels(css), lambda rgb: named(spread(rgb), lambda c: named(facts(c), name)))

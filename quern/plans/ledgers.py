@@ -147,13 +147,13 @@ def similar_items(spark, sf_dir):
 
 
 @query(
-    "WITH r AS (SELECT l_orderkey, l_linenumber, l_tax + 0.3 AS ratio, coalesce(sum(CAST(round((l_tax + 0.3) * 100) AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM lineitem) "
+    "WITH r AS (SELECT l_orderkey, l_linenumber, l_tax + 0.3 AS ratio, coalesce(sum(CAST(round((l_tax + 0.3) * 100) AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM lineitem) "
     "SELECT l_orderkey, l_linenumber, CAST(top AS BIGINT) AS top, CAST(least(round(ratio * 100), 100 - top) AS BIGINT) AS shown FROM r WHERE least(round(ratio * 100), 100 - top) > 0"
 )
 def cut_prefix(spark, sf_dir):
     """Blocks of a page up to a total height, the crossing one cut; heights in hundredths."""
     rows = table(spark, sf_dir, "lineitem").withColumn("ratio", F.round((F.col("l_tax") + 0.3) * 100))
-    cut = layout.cut_blocks(rows, ["l_orderkey"], ["l_linenumber"], "ratio", 100.0)
+    cut = layout.cut_blocks(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "ratio", 100.0)
     return cut.select("l_orderkey", "l_linenumber", F.col("top").cast("long").alias("top"), F.col("shown").cast("long").alias("shown"))
 
 

@@ -53,11 +53,11 @@ def session_counts(events: DataFrame, key: str, ts: str, gap: str, late: str = "
 class _DailyCap(StatefulProcessor):
     """Items a viewer has opened on a day; key: viewer and day."""
 
-    def __init__(self, limit: int):
-        self.limit = limit
+    def __init__(self, limit: int, ttl_ms: int | None):
+        self.limit, self.ttl_ms = limit, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "item string", "at long", ttlDurationMs=2 * 86_400_000)
+        self.seen = handle.getMapState("seen", "item string", "at long", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         have = {k[0] for k in self.seen.keys()}
@@ -75,10 +75,10 @@ class _DailyCap(StatefulProcessor):
         pass
 
 
-def daily_cap(events: DataFrame, viewer: str, ts: str, item: str, seq: str, limit: int) -> DataFrame:
-    """Verdict on each view, as it comes (T-2)."""
+def daily_cap(events: DataFrame, viewer: str, ts: str, item: str, seq: str, limit: int, ttl_ms: int | None = None) -> DataFrame:
+    """Verdict on each view, as it comes (T-2). With ``ttl_ms``, two days say, state goes that long after its last use."""
     rows = events.select(F.col(viewer).cast("string").alias("viewer"), F.date_format(ts, "yyyy-MM-dd").alias("day"), F.col(item).cast("string").alias("item"), F.col(seq).cast("long").alias("seq"))
-    return rows.groupBy("viewer", "day").transformWithStateInPandas(_DailyCap(limit), "viewer string, day string, item string, seq long, allowed boolean", "append", "none")
+    return rows.groupBy("viewer", "day").transformWithStateInPandas(_DailyCap(limit, ttl_ms), "viewer string, day string, item string, seq long, allowed boolean", "append", "processingTime" if ttl_ms else "none")
 
 
 class _Subscriptions(StatefulProcessor):
