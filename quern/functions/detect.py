@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import fixed
+from quern.functions.colour import named
 from quern.functions.text import any_of
 
 
@@ -168,9 +169,13 @@ def country(host: Column, currency: Column, locale: Column, visitor: Column, own
     )
 
 
-def keyword_hits(text: Column, words: list[str], most: int = 12) -> Column:
-    """Non-overlapping occurrences of the words, one cap for all of them (A.11)."""
-    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9&+\-' ]+", " "), F.lit(" "))
+def spaced(text: Column) -> Column:
+    """Lower-case text of the characters that keywords have, blanks around and between."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9&+\-' ]+", " "), F.lit(" "))
+
+
+def keyword_hits(low: Column, words: list[str], most: int = 12) -> Column:
+    """Non-overlapping occurrences of the words in a spaced text, one cap for all of them (A.11)."""
     counts = [((F.length(low) - F.length(F.replace(low, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int") for w in words]
     return F.least(sum(counts, F.lit(0)), F.lit(most))
 
@@ -181,15 +186,23 @@ def industry(buckets: list[tuple[Column, float]], keywords: dict[str, list[str]]
     ``keywords`` maps an industry to its words. Ties go to the industry that an
     earlier bucket scored first, then to the one named first.
     """
-    named = list(keywords)
-    hits = {k: [keyword_hits(t, w) for t, _ in buckets] for k, w in keywords.items()}
-    scored = []
-    for i, k in enumerate(named):
-        score = sum((h.cast("double") * weight for h, (_, weight) in zip(hits[k], buckets, strict=True)), F.lit(0.0))
-        first = F.coalesce(*[F.when(h > 0, F.lit(n * len(named) + i)) for n, h in enumerate(hits[k])])
-        scored.append(F.when(first.isNotNull(), F.struct((-score).alias("s"), first.alias("f"), F.lit(k).alias("k"))))
-    ranked = F.array_sort(F.array_compact(F.array(*scored)))
-    top, next_ = F.get(ranked, 0), F.get(ranked, 1)
-    score = F.coalesce(-top["s"], F.lit(0.0))
-    won = score >= least
-    return F.struct(F.when(won, top["k"]).otherwise("other").alias("industry"), score.alias("score"), F.when(won, next_["k"]).otherwise(top["k"]).alias("runner_up"))
+    names = list(keywords)
+    hits = F.array(*[named(spaced(t), lambda low: F.array(*[keyword_hits(low, w) for w in keywords.values()])) for t, _ in buckets])
+
+    def ranked(h: Column) -> Column:
+        scored = []
+        for i, k in enumerate(names):
+            mine = [F.get(F.get(h, n), i) for n in range(len(buckets))]
+            score = sum((x.cast("double") * weight for x, (_, weight) in zip(mine, buckets, strict=True)), F.lit(0.0))
+            first = F.coalesce(*[F.when(x > 0, F.lit(n * len(names) + i)) for n, x in enumerate(mine)])
+            scored.append(F.when(first.isNotNull(), F.struct((-score).alias("s"), first.alias("f"), F.lit(k).alias("k"))))
+        return F.array_sort(F.array_compact(F.array(*scored)))
+
+    def verdict(r: Column) -> Column:
+        top, next_ = F.get(r, 0), F.get(r, 1)
+        score = F.coalesce(-top["s"], F.lit(0.0))
+        won = score >= least
+        fields = {"industry": F.when(won, top["k"]).otherwise("other"), "score": score, "runner_up": F.when(won, next_["k"]).otherwise(top["k"])}
+        return F.named_struct(*[x for k, v in fields.items() for x in (F.lit(k), v)])
+
+    return named(hits, lambda h: named(ranked(h), verdict))
