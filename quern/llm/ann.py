@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.common import written
+from quern.llm.common import bounded_batches, written
 
 SAMPLE, BRANCH, LEAF, CALIBRATION = 20_000, 8, 64, 256
 CHUNK_ROWS, CHUNK_QUERIES = 16_384, 4_096
@@ -144,6 +144,7 @@ def search(embeddings: DataFrame, queries: Column | None = None, k: int = 20, re
     ``queries`` is a condition on ``vec_id`` (default: divisible by 20).
     """
     spark = embeddings.sparkSession
+    bounded_batches(spark, rows=4000, size=16 << 20)
     rows = embeddings.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     rows = rows.where(usable(F.col("v")))
     schema = "query_id long, rank int, vec_id long, score double"
