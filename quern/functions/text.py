@@ -150,3 +150,20 @@ def unbase64url(code: Column) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def brief(kind: Column, facts: dict[str, Column], headline: Column, body: Column, most: int = 600) -> Column:
+    """A brief of a block from its facts (P12): what it is, what it says, and what it has, one line each."""
+    has = [F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {name}"))) for name, n in facts.items()]
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("A "), F.replace(kind, F.lit("-"), F.lit(" ")), F.lit(" block.")),
+        F.when(F.length(one_line(headline)) > 0, F.concat(F.lit("Headline: "), one_line(headline))),
+        F.when(F.length(one_line(body)) > 0, F.concat(F.lit("Copy: "), F.substring(one_line(body), 1, most))),
+        F.nullif(F.concat(F.lit("It has "), F.nullif(F.concat_ws(", ", *has), F.lit("")), F.lit(".")), F.lit("")),
+    )
+
+
+def shot_of(image: Column, file: Column) -> Column:
+    """The thumbnail of an image struct, else the file itself (P5)."""
+    return F.coalesce(image["thumbnailKey"], file)

@@ -96,3 +96,9 @@ def test_costs(spark):
     assert spark.range(1).select(cost).first()[0] == pytest.approx(1.0 + 0.5 + 0.1)
     assert spark.range(1).select(tags.price_of(F.lit("q"), [("^m", 2.0, 10.0)])).first()[0] is None
     assert tuple(spark.range(1).select(tags.sent_size(F.lit(3136), F.lit(100))).first()[0]) == (1568, 50)
+
+
+def test_briefs(spark):
+    df = spark.createDataFrame([("faq-list", "  Hi\n there ", "x" * 700, 2, 0), ("hero", None, "", 0, 0)], "k string, h string, b string, buttons int, videos int")
+    got = [r[0] for r in df.select(text.brief(F.col("k"), {"buttons": F.col("buttons"), "videos": F.col("videos")}, F.col("h"), F.col("b"))).collect()]
+    assert got == ["A faq list block.\nHeadline: Hi there\nCopy: " + "x" * 600 + "\nIt has 2 buttons.", "A hero block."]
