@@ -95,16 +95,19 @@ def trigrams(word: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, 3)))
 
 
-def similar_terms(words: DataFrame, word: str, vocabulary: DataFrame, term: str, least: float = 0.3) -> DataFrame:
+def similar_terms(words: DataFrame, word: str, vocabulary: DataFrame, term: str, least: float = 0.3, carry: tuple[str, ...] = (), same: bool = False) -> DataFrame:
     """(word, term, similarity) of words and other terms that share enough trigrams.
 
+    With ``same`` a word also meets itself; ``carry`` are columns of the vocabulary to keep.
+
     Trigrams are joined by equality and shared ones counted; the similarity is
     shared over distinct, so no two words without a common trigram are compared.
     """
     a = words.select(F.col(word).alias("word")).distinct().withColumn("g", trigrams(F.col("word")))
-    b = vocabulary.select(F.col(term).alias("term")).distinct().withColumn("g", trigrams(F.col("term")))
+    b = vocabulary.select(F.col(term).alias("term"), *carry).distinct().withColumn("g", trigrams(F.col("term")))
     ga = a.select("word", F.size("g").alias("na"), F.explode("g").alias("gram"))
-    gb = b.select("term", F.size("g").alias("nb"), F.explode("g").alias("gram"))
-    shared = ga.join(gb, "gram").where("word <> term").groupBy("word", "term", "na", "nb").agg(F.count("*").alias("n"))
-    scored = shared.select("word", "term", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("similarity"))
+    gb = b.select("term", *carry, F.size("g").alias("nb"), F.explode("g").alias("gram"))
+    met = ga.join(gb, "gram")
+    shared = (met if same else met.where("word <> term")).groupBy("word", "term", *carry, "na", "nb").agg(F.count("*").alias("n"))
+    scored = shared.select("word", "term", *carry, (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("similarity"))
     return scored.where(F.col("similarity") >= least)

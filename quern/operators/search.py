@@ -127,9 +127,9 @@ def expand(words: list[str], vocab: DataFrame, spelling: int = 5, forms: int = 3
     spark = vocab.sparkSession
     asked = [w for w in words if len(w) >= 4 and w[0].isascii() and w[0].isalpha() and w not in STOP_WORDS]
     rows = spark.createDataFrame([(w, max_edits(w)) for w in asked], "word string, edits int")
-    near = similar_terms(rows, "word", vocab, "term").join(vocab, "term").join(F.broadcast(rows), "word")
-    known = vocab.where(F.col("term").isin(asked)).select(F.col("term").alias("word"), F.lit(True).alias("known"))
-    near = near.join(F.broadcast(known), "word", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    # the vocabulary is gone through once: a word that meets itself is known
+    near = similar_terms(rows, "word", vocab, "term", carry=("docs",), same=True).join(F.broadcast(rows), "word")
+    near = near.withColumn("known", F.max(F.col("word") == F.col("term")).over(Window.partitionBy("word"))).where("word <> term")
     near = near.where(~F.col("known") | ((F.substring("word", 1, 4) == F.substring("term", 1, 4)) & (F.col("similarity") >= close)))
     order = Window.partitionBy("word").orderBy(F.desc("similarity"), F.desc("docs"), "term")
     ranked = near.withColumn("n", F.row_number().over(order)).where((F.col("known") & (F.col("n") <= forms)) | (~F.col("known") & (F.col("n") <= spelling)))
