@@ -123,7 +123,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     # written, so that the join below has the frequent lines in an exchange of their own, which can be split
     shared = written(lines.groupBy("key").agg(F.min("me").alias("first"), F.max("me").alias("last")).where("first < last").select("key", "first"), "lines-first")
     held = written(lines.join(shared, "key"), "lines-shared")
-    sequences = held.groupBy("me").agg(F.sort_array(F.collect_set(F.struct("rank", "line", "key", "words"))).alias("lines"))
+    # written too, for the join by first holder: some hold the lines of many
+    sequences = written(held.groupBy("me").agg(F.sort_array(F.collect_set(F.struct("rank", "line", "key", "words"))).alias("lines")), "lines-sequences")
     pairs = held.where("first < me").select("first", "me").distinct()
     # the later document's lines go along with the pair; the earlier one's meet them last
     aligned = pairs.join(sequences, "me").join(sequences.select(F.col("me").alias("first"), F.col("lines").alias("earlier")), "first")
