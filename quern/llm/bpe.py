@@ -38,11 +38,11 @@ from quern.llm.common import bounded_batches
 END = "</w>"
 #: Pieces of text a worker remembers, twice over, before it forgets, and pieces whose
 #: words share one trie, and texts that are learned from at once; they bound its memory.
-MAX_MEMO, PER_TRIE, SLICE = 400_000, 100_000, 1000
+MAX_MEMO, PER_TRIE, SLICE, SLICE_CHARS = 400_000, 100_000, 1000, 4_000_000
 #: Remembered pairs of tokens.
 MAX_PAIRS = 300_000
 #: Characters at which str.split() cuts though they are no white space to the tokenizer.
-SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+SEPARATORS = regex.compile("[\x1c-\x1f]").search
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -175,7 +175,7 @@ class WordBpe:
                 continue
             if not unicodedata.is_normalized("NFC", part):
                 part = unicodedata.normalize("NFC", part)
-            out.append((None, self.pieces(part) if SEPARATORS & {*part} else part.split()))
+            out.append((None, self.pieces(part) if SEPARATORS(part) else part.split()))
         return out
 
     def _words(self, chunk: str) -> list[str]:
@@ -201,14 +201,15 @@ class WordBpe:
         if len(self.memo) > self.max_memo:  # what is met again comes back from the older half
             self.memo, self.older = {}, self.memo
         memo, older, met = self.memo, self.older, set()
-        for text in texts:
-            for _, chunks in self._parts(text):
+        cut = [self._parts(text) for text in texts]
+        for parts in cut:
+            for _, chunks in parts:
                 met.update(chunks)
         fresh = [c for c in met if c not in memo]
         memo.update((c, older[c]) for c in fresh if c in older)
         self._learn([c for c in fresh if c not in older])
-        for text in texts:
-            yield np.frombuffer(b"".join(ids if ids is not None else b"".join(map(memo.__getitem__, chunks)) for ids, chunks in self._parts(text)), np.int32)
+        for parts in cut:
+            yield np.frombuffer(b"".join(ids if ids is not None else b"".join(map(memo.__getitem__, chunks)) for ids, chunks in parts), np.int32)
 
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_batch([text]))
@@ -224,6 +225,20 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def slices(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts (null: empty) in lists of ``SLICE`` texts or ``SLICE_CHARS`` characters, about."""
+    some: list[str] = []
+    size = 0
+    for text in texts:
+        some.append(text.as_py() or "")
+        size += len(some[-1])
+        if len(some) >= SLICE or size >= SLICE_CHARS:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array<int>) of a text column and ``decoded``, the text of those ids."""
 
@@ -232,8 +247,8 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         bpe = load(path)
         for texts in batches:
             parts, ends, decoded = [np.empty(0, np.int32)], [0], []
-            for at in range(0, len(texts), SLICE):
-                for ids in bpe.encode_batch([t or "" for t in texts.slice(at, SLICE).to_pylist()]):
+            for some in slices(texts):
+                for ids in bpe.encode_batch(some):
                     parts.append(ids)
                     ends.append(ends[-1] + len(ids))
                     decoded.append(bpe.decode(ids.tolist()))
