@@ -9,8 +9,15 @@ parts between anchors are aligned the same way. Aligned lines that follow each
 other in both documents are a block; blocks of ``least_words`` words or more
 are deleted from the later document.
 
+What alignment with first holders leaves is found by runs: each shortest run of
+lines in a row with ``least_words`` words, from each line on and back from each
+line, is cut too if an earlier document holds it. Together they make up every
+block that any earlier document holds in a row, moved or repeated ones included.
+A run's first holder stands for all, so these are not paired either.
+
 The first document in which a line occurs never loses it: whatever it is
-aligned with comes before it and would have to hold that line.
+aligned with, or shares a run with, comes before it and would have to hold that
+line.
 
 Order: by doc_id, nulls first; rows that share an id, by the hash of their text.
 
@@ -29,9 +36,10 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import md5
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import bounded_batches, written
@@ -109,6 +117,50 @@ def blocks(earlier: list[tuple[int, int, bytes, int]], later: list[tuple[int, in
     return out
 
 
+def _merged(cuts: Column) -> Column:
+    """Sorted (start, end), overlapping and adjacent ones made one."""
+
+    def add(done: Column, cut: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], cut["end"]).alias("end"))
+        joins = (F.size(done) > 0) & (cut["start"] <= last["end"] + 1)
+        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(cut)))
+
+    return F.aggregate(cuts, F.array().cast("array<struct<start: int, end: int>>"), add)
+
+
+def runs(lines: list[tuple[int, int, bytes, int]], least_words: int) -> list[tuple[int, int]]:
+    """Positions (first, last) of the shortest runs in a row that make ``least_words`` words.
+
+    Any block of so many words is the union of those within it. Two lines that
+    are long enough alone also make a run, for the blank lines between them.
+    """
+    found, a, words = set(), 0, 0
+    for b, (rank, _, _, n) in enumerate(lines):
+        if b and rank != lines[b - 1][0] + 1:
+            a, words = b, 0
+        words += n
+        # a run from each a on, ended by b
+        while a <= b and words >= least_words:
+            found.add((a, b))
+            words -= lines[a][3]
+            a += 1
+    b, words = len(lines) - 1, 0
+    for a in range(len(lines) - 1, -1, -1):
+        if a + 1 < len(lines) and lines[a][0] + 1 != lines[a + 1][0]:
+            b, words = a, 0
+        words += lines[a][3]
+        # and one back from each b, begun by a
+        while a <= b and words >= least_words:
+            found.add((a, b))
+            words -= lines[b][3]
+            b -= 1
+    for a in range(len(lines) - 1):
+        if lines[a][0] + 1 == lines[a + 1][0] and min(lines[a][3], lines[a + 1][3]) >= least_words:
+            found.add((a, a + 1))
+    return sorted(found)
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the text that is left, and ``n_lines``, ``n_removed`` and ``sources`` (ids of the earlier documents)."""
     bounded_batches(docs.sparkSession, rows=500, size=8 << 20)
@@ -140,7 +192,24 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], [*out])
 
     cuts = aligned.select("first.id", F.col("me.id").alias("id2"), "me.h", "earlier", "lines").toDF("source", "id", "h", "earlier", "later").mapInArrow(align, "id long, h long, source long, start int, end int")
-    cuts = cuts.groupBy(F.struct("id", "h").alias("__me")).agg(F.collect_set(F.struct("start", "end")).alias("__cuts"), F.array_sort(F.collect_set("source")).alias("__sources"))
+
+    def in_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {"id": [], "h": [], "key": [], "start": [], "end": []}
+            for i, h, side in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                rows = [(x["rank"], x["line"], x["key"], x["words"]) for x in side.as_py()]
+                for a, b in runs(rows, least_words):
+                    key = md5(b"".join(x[2] for x in rows[a : b + 1])).digest()
+                    for name, value in zip(out, (i, h, key, rows[a][1], rows[b][1]), strict=True):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], [*out])
+
+    held_runs = written(sequences.select("me.id", "me.h", "lines").mapInArrow(in_row, "id long, h long, key binary, start int, end int"), "lines-runs")
+    holder = F.struct("id", "h")
+    firsts = written(held_runs.groupBy("key").agg(F.min(holder).alias("first"), F.max(holder).alias("last")).where("first < last").select("key", "first"), "lines-runs-first")
+    again = held_runs.join(firsts, "key").where(F.col("first") < holder)
+    cuts = cuts.union(again.select("id", "h", F.col("first.id").alias("source"), "start", "end"))
+    cuts = cuts.groupBy(F.struct("id", "h").alias("__me")).agg(_merged(F.array_sort(F.collect_set(F.struct("start", "end")))).alias("__cuts"), F.array_sort(F.collect_set("source")).alias("__sources"))
     kept_columns = [c for c in docs.columns if c not in (text, "n_lines", "n_removed", "sources")]
     whole = F.split(F.col("__text"), "\n")
     left = F.filter(whole, lambda _, i: ~F.exists("__cuts", lambda c: (i >= c["start"]) & (i <= c["end"])))
