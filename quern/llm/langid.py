@@ -11,7 +11,7 @@ Defined results
   null text, no letter  ``und`` with score 0
   empty label           null labels are not learned from; others are languages as they stand
   no labelled rows      every text is ``und`` with score 0
-  many labels           the ``max_langs`` most frequent are learned, ties by name
+  many labels           all are learned; more than ``max_langs`` are an error
   long text             all of it counts, in pieces of 2^20 characters
   ties                  the language that sorts first
   repeated rows         scored alike; each counts in training
@@ -73,9 +73,11 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", max_langs: int = 512, smoothing: float = 0.5) -> Model:
-    """Learn from all rows of ``docs`` whose label is not null."""
+    """Learn from all rows of ``docs`` whose label is not null; ValueError if they have over ``max_langs`` labels."""
     rows = docs.select(F.col(text).alias("text"), F.col(label).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    seen = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    seen = rows.groupBy("lang").count().limit(max_langs + 1).collect()
+    if len(seen) > max_langs:
+        raise ValueError(f"more than max_langs = {max_langs} labels in {label}: the model would not fit the bound, and none is left out")
     langs = sorted(r["lang"] for r in seen)
     if not langs:
         return Model([], np.empty((0, 1 << BITS)), np.empty(0))
