@@ -53,6 +53,17 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def lettered(column: Column) -> Column:
+    """Whether a text column has a letter; false for null."""
+
+    @F.arrow_udf("boolean")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([t.is_valid and has_letter(t.as_py()) for t in texts], pa.bool_())
+
+    return found(column)
+
+
 @dataclass
 class Model:
     """Languages in order, and log-probabilities: languages x (buckets + prior)."""
