@@ -16,17 +16,19 @@ def session_of(df: DataFrame) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (local tests) a temporary folder
-    is created and set as the checkpoint folder.
+    Where the session does not name one, a local session (tests) gets a
+    temporary folder; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm.isDefined():
             found = jvm.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             found = "file://" + tempfile.mkdtemp(prefix="quern-")
             spark.sparkContext.setCheckpointDir(found)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return found.rstrip("/")
 
 
@@ -47,14 +49,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a frame made by :func:`written`."""
-    files = df.inputFiles()
-    if not files:
-        return
-    folder = files[0].rsplit("/", 1)[0]
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def dropped(*frames: DataFrame) -> None:
+    """Delete the tables behind frames made by :func:`written` once all that was derived from them is written too."""
+    for df in frames:
+        if files := df.inputFiles():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ascii_lower(column):

@@ -1,23 +1,22 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap where they share lines (white space at the ends aside). A
-line's earliest document stands for all that hold it: each later one is paired
-with that document, so a line in n documents makes n - 1 pairs at most and no
-line, rare or frequent, needs a cap. Each pair is aligned with patience diff:
-lines that are rare, once in either document, anchor the alignment, and the
-parts between anchors are aligned the same way. Aligned lines that follow each
-other in both documents are a block; blocks of ``least_words`` words or more
-are deleted from the later document.
-
-What alignment with first holders leaves is found by runs: each shortest run of
-lines in a row with ``least_words`` words, from each line on and back from each
-line, is cut too if an earlier document holds it. Together they make up every
-block that any earlier document holds in a row, moved or repeated ones included.
-A run's first holder stands for all, so these are not paired either.
-
-The first document in which a line occurs never loses it: whatever it is
-aligned with, or shares a run with, comes before it and would have to hold that
-line.
+Documents overlap where they share a run: lines in a row (white space at the
+ends aside) that make ``least_words`` words, taken as short as possible from
+each line on and back from each line. Lines are common; runs of so many words
+are rare, and any block of that many words is the union of the runs within it.
+The earliest document that holds a run stands for all that hold it: each later
+one is paired with it, so a run in n documents makes n - 1 pairs at most and no
+run, rare or frequent, needs a cap. Each pair is aligned once, with patience
+diff: lines that are once in either document anchor the alignment, and the parts
+between anchors are aligned the same way. Aligned lines that follow each other
+in both documents are a block; blocks of ``least_words`` words or more are
+deleted from the later document. An alignment rises in both documents, so runs
+that moved or come twice are left by it; those of the later document that the
+earlier one holds are aligned each on its own and deleted as well.
+
+So a later document loses exactly the lines that lie in a block which any
+earlier document holds in a row. The first document with a block keeps it:
+whatever it is aligned with comes before it and would have to hold the block.
 
 Order: by doc_id, nulls first; rows that share an id, by the hash of their text.
 
@@ -25,26 +24,31 @@ Defined results
   null or empty text  nothing to delete, kept as it is
   blank lines         neither align nor part a block; within a deleted block they go too
   null doc_id         first in order; not listed among sources
+  ties                repeated lines are once, twice, ... in a document; each block counts on its own
   equal rows          rows with the same id and text are one document: none is later, all get the same result
-  long text           all lines count
+  long text           all lines count; a document's shared lines are one row
   empty table         empty result
   extra columns       kept, except those named like a result column, which are replaced
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded_batches, written
+from quern.llm.common import bounded_batches, dropped, written
 
 LEAST_WORDS = 8
+#: White space that is cut from the ends of a line.
+BLANKS = " \t\r\x0b\x0c"
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -161,11 +165,44 @@ def runs(lines: list[tuple[int, int, bytes, int]], least_words: int) -> list[tup
     return sorted(found)
 
 
+def _sequences(column: pa.Array) -> Iterator[list[tuple[int, int, bytes, int]]]:
+    """The (rank, line, key, words) of each row's lines."""
+    flat = column.flatten()
+    fields = [flat.field(name).to_pylist() for name in ("rank", "line", "key", "words")]
+    at = 0
+    for n in pc.list_value_length(column).to_pylist():
+        yield list(zip(*(f[at : at + n] for f in fields), strict=True))
+        at += n
+
+
+def _key(lines: list[tuple[int, int, bytes, int]], a: int, b: int) -> bytes:
+    return md5(b"".join(x[2] for x in lines[a : b + 1])).digest()
+
+
+def common_blocks(earlier: list[tuple[int, int, bytes, int]], later: list[tuple[int, int, bytes, int]], least_words: int, held: set[bytes] | None = None) -> list[tuple[int, int]]:
+    """First and last line of all blocks of the later document that the earlier one holds.
+
+    ``held`` may give the keys of the earlier document's runs, to save working them out again.
+    """
+    found = blocks(earlier, later, least_words)
+    starts = [a for a, _ in found]  # these rise, and blocks of an alignment do not overlap
+
+    def inside(a: int, b: int) -> bool:
+        at = bisect_right(starts, a) - 1
+        return at >= 0 and b <= found[at][1]
+
+    left = [(a, b) for a, b in runs(later, least_words) if not inside(later[a][1], later[b][1])]
+    if left:
+        held = held if held is not None else {_key(earlier, a, b) for a, b in runs(earlier, least_words)}
+        found = found + [(later[a][1], later[b][1]) for a, b in left if _key(later, a, b) in held]
+    return found
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the text that is left, and ``n_lines``, ``n_removed`` and ``sources`` (ids of the earlier documents)."""
     bounded_batches(docs.sparkSession, rows=500, size=8 << 20)
     me = F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("h"))
-    line = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), F.trim(x).alias("body"))), lambda x: x["body"].rlike(r"\S"))
+    line = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(BLANKS)).alias("body"))), lambda x: x["body"] != "")
     lines = (
         docs.where(F.col(text).isNotNull())
         .select(me.alias("me"), F.posexplode(line).alias("rank", "x"))
@@ -173,47 +210,45 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     )
     lines = written(lines, "lines")
     # written, so that the join below has the frequent lines in an exchange of their own, which can be split
-    shared = written(lines.groupBy("key").agg(F.min("me").alias("first"), F.max("me").alias("last")).where("first < last").select("key", "first"), "lines-first")
-    held = written(lines.join(shared, "key"), "lines-shared")
-    # written too, for the join by first holder: some hold the lines of many
-    sequences = written(held.groupBy("me").agg(F.sort_array(F.collect_set(F.struct("rank", "line", "key", "words"))).alias("lines")), "lines-sequences")
-    pairs = held.where("first < me").select("first", "me").distinct()
+    shared = written(lines.groupBy("key").agg(F.min("me").alias("first"), F.max("me").alias("last")).where("first < last").select("key"), "lines-shared")
+    # a document's lines that another one has too; written, for the join by first holder: some are paired with many
+    held = lines.join(shared, "key").groupBy("me").agg(F.sort_array(F.collect_set(F.struct("rank", "line", "key", "words"))).alias("lines"))
+    sequences = written(held, "lines-sequences")
+    dropped(lines, shared)
+
+    def in_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [[*{_key(rows, a, b) for a, b in runs(rows, least_words)}] for rows in _sequences(batch.column(1))]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [*map(len, keys)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([k for ks in keys for k in ks], pa.binary())], ["me", "key"])
+
+    held_runs = written(sequences.mapInArrow(in_row, "me struct<id: long, h: long>, key binary"), "lines-runs")
+    firsts = written(held_runs.groupBy("key").agg(F.min("me").alias("first"), F.max("me").alias("last")).where("first < last").select("key", "first"), "lines-first")
+    pairs = written(held_runs.join(firsts, "key").where("first < me").select("first", "me").distinct(), "lines-pairs")
+    dropped(held_runs, firsts)
     # the later document's lines go along with the pair; the earlier one's meet them last
     aligned = pairs.join(sequences, "me").join(sequences.select(F.col("me").alias("first"), F.col("lines").alias("earlier")), "first")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, set()
         for batch in batches:
-            out = {"id": [], "h": [], "source": [], "start": [], "end": []}
-            for source, i, h, early, late in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
-                rows = [[(x["rank"], x["line"], x["key"], x["words"]) for x in side.as_py()] for side in (early, late)]
-                for a, b in blocks(*rows, least_words):
-                    for name, value in zip(out, (i, h, source, a, b), strict=True):
+            out = {"me": [], "source": [], "start": [], "end": []}
+            for n, (first, early, late) in enumerate(zip(batch.column(0).to_pylist(), _sequences(batch.column(2)), _sequences(batch.column(3)), strict=True)):
+                if first != last:  # many pairs in a row have one first holder
+                    last, held = first, {_key(early, a, b) for a, b in runs(early, least_words)}
+                for a, b in common_blocks(early, late, least_words, held):
+                    for name, value in zip(out, (n, first["id"], a, b), strict=True):
                         out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], [*out])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(out["me"], pa.int32())), *(pa.array(out[c], t) for c, t in (("source", pa.int64()), ("start", pa.int32()), ("end", pa.int32())))], [*out])
 
-    cuts = aligned.select("first.id", F.col("me.id").alias("id2"), "me.h", "earlier", "lines").toDF("source", "id", "h", "earlier", "later").mapInArrow(align, "id long, h long, source long, start int, end int")
-
-    def in_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = {"id": [], "h": [], "key": [], "start": [], "end": []}
-            for i, h, side in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                rows = [(x["rank"], x["line"], x["key"], x["words"]) for x in side.as_py()]
-                for a, b in runs(rows, least_words):
-                    key = md5(b"".join(x[2] for x in rows[a : b + 1])).digest()
-                    for name, value in zip(out, (i, h, key, rows[a][1], rows[b][1]), strict=True):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], [*out])
-
-    held_runs = written(sequences.select("me.id", "me.h", "lines").mapInArrow(in_row, "id long, h long, key binary, start int, end int"), "lines-runs")
-    holder = F.struct("id", "h")
-    firsts = written(held_runs.groupBy("key").agg(F.min(holder).alias("first"), F.max(holder).alias("last")).where("first < last").select("key", "first"), "lines-runs-first")
-    again = held_runs.join(firsts, "key").where(F.col("first") < holder)
-    cuts = cuts.union(again.select("id", "h", F.col("first.id").alias("source"), "start", "end"))
-    cuts = cuts.groupBy(F.struct("id", "h").alias("__me")).agg(_merged(F.array_sort(F.collect_set(F.struct("start", "end")))).alias("__cuts"), F.array_sort(F.collect_set("source")).alias("__sources"))
+    cuts = aligned.select("first", "me", "earlier", "lines").mapInArrow(align, "me struct<id: long, h: long>, source long, start int, end int")
+    cuts = cuts.groupBy(F.col("me").alias("__me")).agg(_merged(F.array_sort(F.collect_set(F.struct("start", "end")))).alias("__cuts"), F.array_sort(F.collect_set("source")).alias("__sources"))
+    cuts = written(cuts, "lines-cuts")
+    dropped(sequences, pairs)
     kept_columns = [c for c in docs.columns if c not in (text, "n_lines", "n_removed", "sources")]
     whole = F.split(F.col("__text"), "\n")
     left = F.filter(whole, lambda _, i: ~F.exists("__cuts", lambda c: (i >= c["start"]) & (i <= c["end"])))
-    out = docs.select(*kept_columns, F.col(text).alias("__text"), me.alias("__me")).join(written(cuts, "lines-cuts"), "__me", "left")
+    out = docs.select(*kept_columns, F.col(text).alias("__text"), me.alias("__me")).join(cuts, "__me", "left")
     out = out.withColumn("__left", F.when(F.col("__cuts").isNotNull(), left))
     out = out.select(
         *kept_columns,

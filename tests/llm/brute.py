@@ -69,3 +69,34 @@ def capacity(sizes, shards):
                 new[j] = min(new[j], max(best[i - 1], total))
         best = new
     return best[-1]
+
+
+def lines_cut(docs, least=8):
+    """doc -> lines in a run of ``least`` words or more that any earlier document holds in a row; every pair of documents."""
+    parts = {}
+    for d, t in docs:
+        body = [(i, x.strip(" \t\r\x0b\x0c")) for i, x in enumerate((t or "").split("\n"))]
+        parts[d] = [(i, x, len(x.split())) for i, x in body if x]
+    seen = {d: {x for _, x, _ in lines} for d, lines in parts.items()}
+    out = {}
+    for d, mine in parts.items():
+        out[d] = set()
+        for s in (s for s in parts if s < d and not seen[s].isdisjoint(seen[d])):
+            theirs = [x for _, x, _ in parts[s]]
+            places = defaultdict(list)
+            for at, x in enumerate(theirs):
+                places[x].append(at)
+            for a, (i, x, _) in enumerate(mine):
+                for at in places[x]:
+                    n, words = 0, 0
+                    while a + n < len(mine) and at + n < len(theirs) and mine[a + n][1] == theirs[at + n]:
+                        words += mine[a + n][2]
+                        n += 1
+                    if words >= least:
+                        out[d] |= set(range(i, mine[a + n - 1][0] + 1))
+    return out
+
+
+def lines_left(docs, least=8):
+    cut = lines_cut(docs, least)
+    return {d: t and "\n".join(x for i, x in enumerate(t.split("\n")) if i not in cut[d]) for d, t in docs}

@@ -70,38 +70,19 @@ def test_patience_is_an_alignment():
     assert linededup.patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)]
 
 
-def brute_lines(docs, least=8):
-    """Kept lines, by aligning every document with the earliest holder of each of its lines."""
-    split = {d: [(i, x.strip(" ")) for i, x in enumerate(t.split("\n"))] for d, t in docs}
-    split = {d: [(n, i, x, len(x.split())) for n, (i, x) in enumerate((i, x) for i, x in ls if x.strip())] for d, ls in split.items()}
-    first = {}
-    for d in sorted(split):
-        for _, _, x, _ in split[d]:
-            first.setdefault(x, d)
-    shared = {x for d in split for _, _, x, _ in split[d] if first[x] != d}
-    kept, removed = {}, {}
-    for d, t in docs:
-        gone = set()
-        for s in {first[x] for _, _, x, _ in split[d]} - {d}:
-            for a, b in linededup.blocks([r for r in split[s] if r[2] in shared], [r for r in split[d] if r[2] in shared], least):
-                gone |= set(range(a, b + 1))
-        kept[d] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
-        removed[d] = len(gone)
-    return kept, removed
-
-
 def test_line_dedup(spark, sf_dir):
+    """Against every pair of documents, in code of its own."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    want, removed = brute_lines(rows)
+    cut, want = brute.lines_cut(rows), brute.lines_left(rows)
     got = {r["doc_id"]: r for r in linededup.dedup_lines(docs).collect()}
     assert {d: r["text"] for d, r in got.items()} == want
     assert sum(t != want[d] for d, t in rows) > 50
-    assert {d: r["n_removed"] for d, r in got.items()} == removed
+    assert {d: r["n_removed"] for d, r in got.items()} == {d: len(x) for d, x in cut.items()}
     assert {d: r["n_lines"] for d, r in got.items()} == {d: len(t.split("\n")) for d, t in rows}
     # nothing is lost: each line of the corpus is left somewhere
-    left = {x.strip(" ") for t in want.values() for x in t.split("\n")}
-    assert {x.strip(" ") for _, t in rows for x in t.split("\n")} - {""} <= left
+    left = {x.strip() for t in want.values() for x in t.split("\n")}
+    assert {x.strip() for _, t in rows for x in t.split("\n")} - {""} <= left
 
 
 def test_line_dedup_odd_rows(spark):
