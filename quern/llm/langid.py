@@ -3,9 +3,10 @@
 Training counts the n-grams (n = 1..3, lower-cased, hashed into 2^15 buckets)
 of every labelled text, summed on the cluster; the driver only sees the sums,
 one row per language and bucket. The matrix of log-probabilities is broadcast:
-its size is ``max_langs`` x buckets x 8 bytes at most. A batch is scored in
-numpy from the buckets that its texts have, text by text, never through a
-dense row of all buckets.
+its size is ``max_langs`` x buckets x 8 bytes at most. Texts are scored in
+batches of about 2^20 characters: the n-grams of a batch are one sparse matrix
+of texts and buckets, as two arrays of row and column numbers, and its product
+with the log-probabilities is a weighted count of rows for each language.
 
 Defined results
   null text, no letter  ``und`` with score 0
@@ -15,12 +16,13 @@ Defined results
   long text             all of it counts, in pieces of 2^20 characters
   ties                  the language that sorts first
   repeated rows         scored alike; each counts in training
+  empty table           no rows, or a model without languages
   extra columns         kept, except those named like a result column, which are replaced
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,21 +34,42 @@ BITS, ORDERS, PIECE = 15, (1, 2, 3), 1 << 20
 UNKNOWN = "und"
 
 
-def buckets(text: str) -> Iterator[np.ndarray]:
-    """Buckets of the n-grams of a text, all of them, piece by piece."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    for at in range(0, len(codes), PIECE):
-        piece = codes[at : at + PIECE + ORDERS[-1] - 1]
-        found = []
-        for n in ORDERS:
-            size = min(PIECE, len(piece) - n + 1)
-            if size <= 0:
-                continue
-            mixed = np.full(size, n, np.uint64)
-            for i in range(n):
-                mixed = (mixed ^ piece[i : i + size]) * np.uint64(0x9E3779B97F4A7C15)
-            found.append((mixed >> np.uint64(64 - BITS)).astype(np.int64))
-        yield np.concatenate(found)
+def batches(texts: Iterable[str], piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, buckets): the n-grams of the texts, in batches of about ``piece`` characters.
+
+    A row is a text's number; rows rise within each order of n-grams. Longer
+    texts are cut, each piece with the characters that its last n-grams need.
+    """
+    held, size = [], 0
+    for row, text in enumerate(texts):
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        for at in range(0, len(codes), piece):
+            held.append((row, codes[at : at + piece + ORDERS[-1] - 1], min(piece, len(codes) - at)))
+            size += held[-1][2]
+            if size >= piece:
+                yield _grams(held)
+                held, size = [], 0
+    if held:
+        yield _grams(held)
+
+
+def _grams(held: list[tuple[int, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and buckets of pieces: (row, code points, how many of these begin an n-gram)."""
+    codes = np.concatenate([c for _, c, _ in held]).astype(np.uint64)
+    sizes = np.array([len(c) for _, c, _ in held])
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    place = np.arange(len(codes))
+    begins = np.repeat(np.cumsum(sizes) - sizes + np.array([n for *_, n in held]), sizes) > place
+    row = np.repeat(np.array([r for r, *_ in held]), sizes)
+    rows, found = [], []
+    for n in ORDERS:
+        at = np.flatnonzero(begins & (place + n <= ends))
+        mixed = np.full(len(at), n, np.uint64)
+        for i in range(n):
+            mixed = (mixed ^ codes[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+        rows.append(row[at])
+        found.append((mixed >> np.uint64(64 - BITS)).astype(np.int64))
+    return np.concatenate(rows), np.concatenate(found)
 
 
 def has_letter(text: str) -> bool:
@@ -57,8 +80,8 @@ def lettered(column: Column) -> Column:
     """Whether a text column has a letter; false for null."""
 
     @F.arrow_udf("boolean")
-    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+    def found(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
             yield pa.array([t.is_valid and has_letter(t.as_py()) for t in texts], pa.bool_())
 
     return found(column)
@@ -72,15 +95,21 @@ class Model:
     logp: np.ndarray
     prior: np.ndarray
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or text is None or not has_letter(text):
-            return UNKNOWN, 0.0
-        total = self.prior.copy()
-        for found in buckets(text):
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and posterior of each text."""
+        asked = [i for i, t in enumerate(texts) if self.langs and t is not None and has_letter(t)]
+        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        total = np.tile(self.prior, (len(asked), 1))
+        for rows, found in batches(texts[i] for i in asked):
+            first, last = rows.min(), rows.max() + 1
             for k, row in enumerate(self.logp):
-                total[k] += row[found].sum()
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+                total[first:last, k] += np.bincount(rows - first, row[found], last - first)
+        if asked:
+            best = total.argmax(axis=1)
+            scores[asked] = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            for i, k in zip(asked, best.tolist(), strict=True):
+                names[i] = self.langs[k]
+        return names, scores
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", max_langs: int = 512, smoothing: float = 0.5) -> Model:
@@ -94,14 +123,15 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", max_langs: int
         return Model([], np.empty((0, 1 << BITS)), np.empty(0))
     at = {x: i for i, x in enumerate(langs)}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for body, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                if (k := at.get(lang)) is not None:
+        for batch in parts:
+            labels = np.array([at[x] for x in batch.column(1).to_pylist()])
+            for rows, found in batches(t.as_py() for t in batch.column(0)):
+                of = labels[rows]
+                for k in np.unique(of).tolist():
                     row = sums.setdefault(k, np.zeros(1 << BITS, np.int64))
-                    for found in buckets(body.as_py()):
-                        row += np.bincount(found, minlength=1 << BITS)
+                    row += np.bincount(found[of == k], minlength=1 << BITS)
         for k, row in sums.items():
             used = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k, np.int32)), pa.array(used.astype(np.int32)), pa.array(row[used])], ["lang", "bucket", "n"])
@@ -119,10 +149,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
-    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            out = [shared.value.predict(t.as_py()) for t in texts]
-            yield pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], ["lang_pred", "score"])
+    def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            names, scores = shared.value.predict(texts.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang_pred", "score"])
 
     kept = [docs[c] for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*kept, scored(docs[text]).alias("__scored")).select(*[c for c in docs.columns if c not in ("lang_pred", "score")], "__scored.*")
