@@ -9,13 +9,20 @@ windows of 10 words around it, and these are compared word by word (as text),
 so a hash collision changes nothing.
 
 Items with fewer words than a window are one window of their own length; for
-each such length every k-gram of that length is a fingerprint (w = 1).
+each such length every k-gram of that length is a fingerprint (w = 1). All
+lengths are taken from one array of fingerprints, in one pass over the text.
 
-The text of a document is read once and never shuffled: its words stay in the
-generated code up to the first join, and only words around hits leave it.
+Where the benchmark's fingerprints and windows are at most ``BROADCAST_ROWS``
+they are broadcast: the text of a document is read once and never shuffled, its
+words stay in the generated code up to the first join, and only words around
+hits leave it. Beyond that, only (document, place, fingerprint) is shuffled, and
+the text comes back for the documents with hits; the row that stands for a
+document takes no part in a join.
 
 Defined results
   null or empty text, no words   no words, no hits; such items are never found
+  long text                      all words count; a place has 28 bits, more than the words of the longest array
+  ties                           all items with a window are counted; spans that touch or overlap are one
   repeated rows                  each document row keeps its own result row
   null doc_id, null item_id      kept; a null item is not counted as an item
   equal items                    both are counted where their window occurs
@@ -25,12 +32,10 @@ Defined results
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ascii_lower
+from quern.llm.common import ascii_lower, written
 
 WINDOW, GRAM = 10, 5
 #: Bits of a packed fingerprint that hold the place in the text; the others hold the hash.
@@ -69,45 +74,80 @@ def _place(packed: Column) -> Column:
     return packed.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A broadcast hint for a frame whose row count has been checked; beyond that it is shuffled."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _few(df: DataFrame) -> bool:
+    """Whether a frame has so few rows that it may be broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def _prints(tokens: Column, kinds: list[tuple[int, int, int]]) -> Column:
+    """Fingerprints (n, print, at) of all kinds: (window length n, k, w)."""
+
+    def of(n: int, k: int, w: int) -> Column:
+        return F.transform(winnowed(tokens, k, w), lambda p: F.struct(F.lit(n).alias("n"), _hash(p).alias("print"), _place(p).alias("at")))
+
+    return F.concat(*[of(*kind) for kind in kinds])
+
+
+def _windows(items: DataFrame, window: int) -> DataFrame:
+    """(n, window, item_id): every n consecutive words of an item, as text."""
+    n = F.least(F.lit(window), F.size("tokens"))
+    at = F.explode(F.sequence(F.lit(1), F.size("tokens") - F.col("n") + 1)).alias("at")
+    cut = items.select("item_id", "tokens", n.alias("n")).select("item_id", "tokens", "n", at)
+    return cut.select("n", F.concat_ws(" ", F.slice("tokens", F.col("at"), F.col("n"))).alias("window"), "item_id").distinct()
+
+
+def _around(tokens: Column, n: Column, at: Column, kinds: list[tuple[int, int, int]]) -> Column:
+    """The words around a hit: (n, slack, first, near); the windows that hold the gram begin up to ``slack`` words before it."""
+    slack = F.element_at(F.create_map(*[F.lit(x) for kind, _, w in kinds for x in (kind, w - 1)]), n)
+    first = F.greatest(at - slack, F.lit(0))
+    return F.struct(n.alias("n"), slack.alias("slack"), first.alias("first"), F.slice(tokens, first + 1, n + slack).alias("near"))
 
 
-def _windows(items: DataFrame, n: int) -> DataFrame:
-    """(window, item_id): every n consecutive words of an item, as text."""
-    at = F.explode(F.sequence(F.lit(1), F.size("tokens") - n + 1)).alias("at")
-    return items.where(F.size("tokens") >= n).select("item_id", "tokens", at).select(F.concat_ws(" ", F.slice("tokens", F.col("at"), n)).alias("window"), "item_id").distinct()
+def _starts(near: DataFrame) -> DataFrame:
+    """(doc_id, same, whole, n_words, n, start, window): the windows around hits, and whole rows, which have none."""
+    starts = F.when(F.size("x.near") >= F.col("x.n"), F.sequence(F.lit(0), F.least(F.size("x.near") - F.col("x.n"), F.col("x.slack"))))
+    near = near.select("doc_id", "same", "whole", "n_words", "x", F.explode_outer(starts).alias("at")).where("whole OR at IS NOT NULL")
+    return near.select("doc_id", "same", "whole", "n_words", "x.n", (F.col("x.first") + F.col("at")).alias("start"), F.concat_ws(" ", F.slice("x.near", F.col("at") + 1, F.col("x.n"))).alias("window"))
 
 
-def _hits(docs: DataFrame, items: DataFrame, n: int, k: int, w: int) -> DataFrame:
-    """(doc_id, same, n_words, copies, start, n, item_id); rows without start stand for the documents."""
-    windows = _windows(items, n)
-    prints = items.select(F.explode(winnowed(F.col("tokens"), k, w)).alias("p")).select(_hash(F.col("p")).alias("print")).distinct()
-    # one more element per document joins the row that stands for it
-    marked = prints.select("print", F.lit(False).alias("whole")).union(prints.sparkSession.createDataFrame([(0, True)], "print long, whole boolean"))
-    found = F.transform(winnowed(F.col("tokens"), k, w), lambda p: F.struct(_hash(p).alias("print"), F.lit(False).alias("whole"), _place(p).alias("at")))
-    found = F.concat(found, F.array(F.struct(F.lit(0).cast("long").alias("print"), F.lit(True).alias("whole"), F.lit(None).cast("int").alias("at"))))
-    hit = docs.withColumn("hit", F.explode(found)).select("doc_id", "same", "tokens", "hit.print", "hit.whole", "hit.at").join(_small(marked), ["print", "whole"])
-    # the windows that hold the gram begin up to w - 1 words before it
-    first = F.greatest(F.col("at") - (w - 1), F.lit(0))
-    near = hit.select("doc_id", "same", "whole", F.size("tokens").alias("n_words"), first.alias("first"), F.when(~F.col("whole"), F.slice("tokens", first + 1, n + w - 1)).alias("near"))
-    starts = F.when(F.size("near") >= n, F.sequence(F.lit(0), F.least(F.size("near") - n, F.lit(w - 1))))
-    near = near.select("doc_id", "same", "whole", "n_words", "first", "near", F.explode_outer(starts).alias("at"))
-    near = near.where("whole OR at IS NOT NULL").select("doc_id", "same", "whole", "n_words", (F.col("first") + F.col("at")).alias("start"), F.concat_ws(" ", F.slice("near", F.col("at") + 1, n)).alias("window"))
-    met = near.join(_small(windows), near.window == windows.window, "left").select("doc_id", "same", "whole", "n_words", "start", "item_id", windows.window.isNotNull().alias("met"))
-    return met.where("whole OR met").select("doc_id", "same", "whole", "n_words", F.when(~F.col("whole"), F.col("start")).alias("start"), F.when(~F.col("whole"), F.lit(n)).alias("n"), "item_id")
+def _met(near: DataFrame, windows: DataFrame, how: str) -> DataFrame:
+    """(doc_id, same, whole, n_words, n, start, item_id) of the windows that are an item's, and of whole rows."""
+    windows = windows.select(F.col("n").alias("of"), F.col("window").alias("same_window"), "item_id")
+    met = near.join(windows, (near.n == windows.of) & (near.window == windows.same_window), how).where("whole OR same_window IS NOT NULL")
+    only = lambda c: F.when(~F.col("whole"), F.col(c)).alias(c)
+    return met.select("doc_id", "same", "whole", "n_words", only("n"), only("start"), "item_id")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per document row: doc_id, ``same`` (hash of its text), n_words, ``spans`` (merged hit word ranges), ``items``."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("tokens"))
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("same"), words(F.col(text)).alias("tokens"))
-    short = [r[0] for r in items.where((F.size("tokens") > 0) & (F.size("tokens") < window)).select(F.size("tokens")).distinct().collect()]
-    long_items = items.where(F.size("tokens") >= window)
-    parts = [_hits(docs, long_items, window, gram, window - gram + 1)]
-    parts += [_hits(docs, items.where(F.size("tokens") == n), n, n, 1).where("NOT whole") for n in sorted(short)]
-    hits = reduce(DataFrame.union, parts)
+    items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("tokens")).where(F.size("tokens") > 0)
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("same"), F.col(text).alias("text"))
+    lengths = [r[0] for r in items.select(F.least(F.lit(window), F.size("tokens"))).distinct().collect()]
+    kinds = [(n, gram, window - gram + 1) if n == window else (n, n, 1) for n in sorted(lengths, reverse=True)] or [(window, gram, window - gram + 1)]
+    own = [F.when(F.least(F.lit(window), F.size("tokens")) == kind[0], _prints(F.col("tokens"), [kind])) for kind in kinds]
+    prints = written(items.select(F.explode(F.coalesce(*own)).alias("p")).select("p.n", "p.print").distinct(), "winnow-prints")
+    windows = written(_windows(items, window), "winnow-windows")
+    cut = docs.select("doc_id", "same", words(F.col("text")).alias("tokens"))
+    if _few(prints) and _few(windows):
+        # one more element per document joins the row that stands for it; nothing is shuffled here
+        spark = prints.sparkSession
+        marked = prints.select("n", "print", F.lit(False).alias("whole")).union(spark.createDataFrame([(0, 0, True)], "n int, print long, whole boolean"))
+        stands = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("print"), F.lit(None).cast("int").alias("at"))
+        found = cut.withColumn("hit", F.explode(F.concat(_prints(F.col("tokens"), kinds), F.array(stands))))
+        hit = found.select("doc_id", "same", "tokens", "hit.n", "hit.print", "hit.at").join(F.broadcast(marked), ["n", "print"])
+        around = F.when(~F.col("whole"), _around(F.col("tokens"), F.col("n"), F.col("at"), kinds))
+        near = hit.select("doc_id", "same", "whole", F.size("tokens").alias("n_words"), around.alias("x"))
+        hits = _met(_starts(near), F.broadcast(windows), "left")
+    else:
+        places = cut.select("doc_id", "same", F.explode(_prints(F.col("tokens"), kinds)).alias("hit")).select("doc_id", "same", "hit.n", "hit.print", "hit.at")
+        places = places.join(prints, ["n", "print"], "left_semi").groupBy("doc_id", "same").agg(F.collect_set(F.struct("n", "at")).alias("hits"))
+        places = written(places.select(F.col("doc_id").alias("hit_id"), F.col("same").alias("hit_same"), "hits"), "winnow-places")
+        back = docs.join(F.broadcast(places) if _few(places) else places, docs.doc_id.eqNullSafe(F.col("hit_id")) & (docs.same == F.col("hit_same")))
+        # words are cut once a text, and only those around hits are exploded
+        around = F.transform("hits", lambda h: _around(F.col("tokens"), h["n"], h["at"], kinds))
+        near = back.select("doc_id", "same", words(F.col("text")).alias("tokens"), "hits").select("doc_id", "same", F.lit(False).alias("whole"), F.size("tokens").alias("n_words"), F.explode(around).alias("x"))
+        base = cut.select("doc_id", "same", F.lit(True).alias("whole"), F.size("tokens").alias("n_words"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("int").alias("start"), F.lit(None).cast(windows.schema["item_id"].dataType).alias("item_id"))
+        hits = _met(_starts(near), windows, "inner").union(base)
     # one row per document row with its hits; equal rows come back as often as they came
     hits = hits.groupBy("doc_id", "same", "whole", "start", "n").agg(F.first("n_words").alias("n_words"), F.count("*").alias("copies"), F.collect_set("item_id").alias("items"))
     rows = hits.groupBy("doc_id", "same").agg(
