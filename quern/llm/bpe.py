@@ -12,7 +12,8 @@ its last node back to the root.
 Defined results
   null text     encoded as the empty text: no ids, empty decoded text
   empty text    no ids, empty decoded text
-  long text     encoded whole; per text the work is linear in its length
+  long text     encoded whole; per text the work is linear in its length; what a worker keeps
+                between batches is bounded in bytes, also for texts without white space
   ties, copies  rows are independent; equal texts get equal results
   empty table   empty result with the same schema
   extra columns kept, except those named like a result column, which are replaced
@@ -36,9 +37,11 @@ from pyspark.sql import functions as F
 from quern.llm.common import bounded_batches
 
 END = "</w>"
-#: Pieces of text a worker remembers, twice over, before it forgets, and pieces whose
-#: words share one trie, and texts that are learned from at once; they bound its memory.
-MAX_MEMO, PER_TRIE, SLICE, SLICE_CHARS = 400_000, 100_000, 1000, 4_000_000
+#: Bytes of pieces that a worker remembers, twice over, before it forgets, and the longest piece it
+#: remembers; pieces whose words share one trie, and texts that are learned from at once.
+MAX_MEMO, MAX_PIECE, PER_TRIE, SLICE, SLICE_CHARS = 96 << 20, 64, 100_000, 1000, 4_000_000
+#: Bytes that a remembered piece takes besides its characters and ids, about.
+ENTRY = 200
 #: Remembered pairs of tokens.
 MAX_PAIRS = 300_000
 #: Characters at which str.split() cuts though they are no white space to the tokenizer.
@@ -76,6 +79,7 @@ class WordBpe:
         self.max_memo = max_memo
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
         self.apart: dict[tuple[str, str], bool] = {}
         #: tokens whose own encoding is themselves; only these can end a prefix
         self.whole = {t for t in self.ids if self._merge(self._symbols(t)) == [t]}
@@ -187,19 +191,22 @@ class WordBpe:
             return [text[:-1], text[-1]]
         return self.words(text)
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Ids of new pieces, by way of a trie of their distinct words."""
+    def _learn(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        """New pieces with their ids, by way of a trie of their distinct words."""
         for at in range(0, len(chunks), PER_TRIE):
             found = [(c, self._words(c)) for c in chunks[at : at + PER_TRIE]]
             spelled = {w: w if w.isascii() and w.isprintable() else "".join(map(self.alphabet.__getitem__, w.encode())) for _, ws in found for w in ws}
             ids = self.walk([*{*spelled.values()}])
             for chunk, words in found:
-                self.memo[chunk] = b"".join([ids[spelled[w]] for w in words])
+                yield chunk, b"".join([ids[spelled[w]] for w in words])
 
     def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text. New words of all texts share a trie."""
-        if len(self.memo) > self.max_memo:  # what is met again comes back from the older half
-            self.memo, self.older = {}, self.memo
+        """Ids of each text. New words of all texts share a trie.
+
+        Long pieces (texts without white space) are forgotten with the batch.
+        """
+        if self.held > self.max_memo:  # what is met again comes back from the older half
+            self.memo, self.older, self.held = {}, self.memo, 0
         memo, older, met = self.memo, self.older, set()
         cut = [self._parts(text) for text in texts]
         for parts in cut:
@@ -207,9 +214,13 @@ class WordBpe:
                 met.update(chunks)
         fresh = [c for c in met if c not in memo]
         memo.update((c, older[c]) for c in fresh if c in older)
-        self._learn([c for c in fresh if c not in older])
+        long = {}
+        for chunk, ids in self._learn([c for c in fresh if c not in older]):
+            (memo if len(chunk) <= MAX_PIECE else long)[chunk] = ids
+        self.held += sum(4 * len(c) + len(memo[c]) + ENTRY for c in fresh if len(c) <= MAX_PIECE)
+        find = memo.__getitem__ if not long else lambda c: long[c] if len(c) > MAX_PIECE else memo[c]
         for parts in cut:
-            yield np.frombuffer(b"".join(ids if ids is not None else b"".join(map(memo.__getitem__, chunks)) for ids, chunks in parts), np.int32)
+            yield np.frombuffer(b"".join(ids if ids is not None else b"".join(map(find, chunks)) for ids, chunks in parts), np.int32)
 
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_batch([text]))
