@@ -10,6 +10,14 @@ decompress one frame and cut the record out.
 Of records with equal payloads of ``least`` bytes or more, the one with the
 smallest page_id is a response and the others are revisits that name it.
 
+A record's id follows from its page id and payload digest, so a second run
+writes the same records; a revisit names the id of the response it repeats.
+
+Which payloads are equal is found on page ids and digests alone, and only the
+digests that come more than once are joined to the pages: by broadcast up to
+``BROADCAST_ROWS`` of them, so that no payload is shuffled; beyond that, pages
+are shuffled by digest once.
+
 Each task writes bundles of its own under fresh names, and the index, written
 by Spark, names only those of tasks that ended well; a task that runs again
 leaves at most files that nothing refers to.
@@ -18,7 +26,7 @@ Defined results
   null html       the empty payload; smaller than ``least``, so a response
   null url        the target URI is left out
   null page_id    a record without page id; such records revisit others but are never the smallest, unless all are null: then all are responses
-  repeated rows   rows that repeat the smallest page_id are responses like it
+  repeated rows   rows that repeat the smallest page_id are responses like it, with the same record id
   empty table     no bundles, an empty index
   long payloads   a frame holds at least one whole record, however long
   extra columns   not carried
@@ -43,19 +51,26 @@ FRAME, BUNDLE = 1 << 18, 64 << 20
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "page_id long, bundle string, frame int, at int, size int, record_type string"
+#: A join side is broadcast only if it has at most so many rows; bytes of records that one reading task takes, about.
+BROADCAST_ROWS, PER_TASK = 200_000, 32 << 20
+
+
+def record_id(page_id: int | None, digest: str) -> str:
+    """The URI of the record of a page with that payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'urn:page:{page_id}:sha256:{digest}')}>"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record with its closing blank lines."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {DATE}"]
     if page_id is not None:
         head.append(f"WARC-Page-ID: {page_id}")
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -72,7 +87,7 @@ def parsed(raw: bytes) -> dict:
         "page_id": int(fields["WARC-Page-ID"]) if "WARC-Page-ID" in fields else None,
         "url": url and url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%"),
         "record_type": fields["WARC-Type"],
-        "refers_to": int(fields["WARC-Refers-To"].removeprefix("<urn:page:").rstrip(">")) if revisit else None,
+        "refers_to": int(fields["WARC-Refers-To-Page-ID"]) if revisit else None,
         "digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"),
         "payload": None if revisit else block.partition(b"\r\n\r\n")[2],
     }
@@ -121,8 +136,10 @@ def write_bundles(pages: DataFrame, folder: str | None = None, page_id: str = "p
     folder = folder or shared_path(pages.sparkSession, "warc")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    same = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(same, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    same = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
+    same = written(same, "warc-same")
+    few = same.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(same) if few else same, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
@@ -187,7 +204,10 @@ def read_records(index: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in types.items()], [*types])
 
-    places = index.select("bundle", "frame", "at", "size").repartition("bundle", F.floor(F.col("frame") / 16)).sortWithinPartitions("bundle", "frame", "at")
+    # so many tasks as the records' bytes ask for; without a number the few bytes of the index would decide
+    total = index.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // PER_TASK))
+    places = index.select("bundle", "frame", "at", "size").repartition(tasks, "bundle", F.floor(F.col("frame") / 16)).sortWithinPartitions("bundle", "frame", "at")
     return places.mapInArrow(read, "page_id long, url string, record_type string, refers_to long, digest string, payload binary")
 
 
