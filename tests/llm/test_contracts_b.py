@@ -53,8 +53,50 @@ def test_neighbours_odd_rows(spark):
 def test_tree_visits_every_leaf_once():
     x = np.random.default_rng(1).normal(size=(700, 8))
     tree = ann.Tree.fit(x)
-    assert sorted(tree.visit(x[0], tree.leaves)) == list(range(tree.leaves))
+    assert sorted(tree.visit(x[:1], tree.leaves)[0]) == list(range(tree.leaves))
     assert ann.Tree.fit(np.ones((500, 3))).assign(np.ones((4, 3))).tolist() == [0] * 4
+    assert all((c in tree.children[p]) for p in range(len(tree.children)) for c in tree.children[p])
+
+
+def test_neighbours_are_told_apart_by_row(spark):
+    """Rows of one id with different vectors see each other; of equal rows one is the query's own."""
+    big = 2**63 - 1
+    rows = [(20, [1.0, 0.0]), (20, [0.5, 1.0]), (40, [2.0, 2.0]), (40, [2.0, 2.0]), (big, [1.0, 1.0]), (None, [1.0, 1.0])]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got[40]) == [(1, 40, 8.0), (2, big, 4.0), (3, None, 4.0), (4, 20, 3.0), (5, 20, 2.0)]
+    own = lambda q, skip: [i for s, _, i in sorted((-float(np.dot(q, v)), i if i is not None else 2**70, str(i)) for n, (i, v) in enumerate(rows) if n != skip)]
+    want = sorted([*enumerate(own(rows[0][1], 0), 1), *enumerate(own(rows[1][1], 1), 1)])
+    assert sorted((r, str(i)) for r, i, _ in got[20]) == want
+
+
+def test_neighbours_of_large_vectors_are_exact(spark):
+    """A visit of all leaves gives the true neighbours, whatever the lengths of the vectors."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16)) * 10.0 ** rng.integers(-3, 7, size=(3000, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1.0, calibration=150).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = {q: [i for i, _ in found] for q, found in true_neighbours(rows, 20).items()}
+    assert got == want
+
+
+def test_neighbours_recall_beyond_the_calibration(spark):
+    """Recall over all queries at 2,000 rows and over all rows as queries of which few calibrated; leaves are left out."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    x = np.array([v for _, v in rows], float)
+    ids = np.array([i for i, _ in rows])
+    rough = x @ x.T
+    np.fill_diagonal(rough, -np.inf)
+    want = {int(ids[i]): set(ids[np.lexsort((ids, -rough[i]))[:20]].tolist()) for i in range(len(ids))}
+    hits = n = 0
+    for r in ann.search(df, F.col("vec_id") >= 0, calibration=100).groupBy("query_id").agg(F.collect_list("vec_id").alias("found")).collect():
+        hits += len(want[r["query_id"]] & set(r["found"]))
+        n += 1
+    assert n == len(rows) and 0.9 <= hits / (20 * n) < 1
 
 
 # -- line dedup --
