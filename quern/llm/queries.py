@@ -79,8 +79,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+def _licenses_sql() -> str:
+    """TF-IDF, cosine and path join in SQL, from the wordings of the templates alone."""
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    kinds = [("n", licenses.notices()), ("t", licenses.texts())]
+    rows = ",\n".join(f"('{kind}', {text(k)}, {i}, {text(t)})" for kind, found in kinds for i, (k, t) in enumerate(found))
+    lower = f"translate({{}}, '{UPPER}', '{LOWER}')"
+    terms = f"regexp_extract_all({lower}, '{licenses.TERM}')"
+    stop = ", ".join(map(text, licenses.STOP))
+    return f"""
+WITH t(kind, license, i, body) AS (VALUES {rows}),
+tc AS (SELECT kind, license, i, term, 1 + ln(count(*)) AS f FROM (SELECT kind, license, i, unnest({terms.format('body')}) AS term FROM t) WHERE term NOT IN ({stop}) GROUP BY ALL),
+size AS (SELECT kind, count(*) AS n FROM t GROUP BY 1),
+idf AS (SELECT kind, term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tc JOIN size USING (kind) GROUP BY 1, 2),
+tw AS (SELECT kind, license, i, term, f * idf / sqrt(sum(f * f * idf * idf) OVER (PARTITION BY kind, i)) AS w FROM tc JOIN idf USING (kind, term)),
+d AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, (doc_id // 1000)::VARCHAR, (doc_id // 10)::VARCHAR, CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END) AS path, doc_id % 10 = 0 AS is_file FROM documents),
+u AS (SELECT 'n' AS kind, doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM d
+  UNION ALL SELECT 'n', doc_id, body, line FROM (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '\\n[ \\t\\r\\n]*\\n')), ' ' || chr(9) || chr(13) || chr(10)) AS body, generate_subscripts(regexp_split_to_array(text, '\\n[ \\t\\r\\n]*\\n'), 1) - 1 + {licenses.BLOCKS} AS line FROM d) WHERE contains(body, chr(10))
+  UNION ALL SELECT 't', doc_id, text, -1 FROM d WHERE is_file),
+uc AS (SELECT kind, doc_id, line, term, 1 + ln(count(*)) AS f FROM (SELECT kind, doc_id, line, unnest({terms.format('body')}) AS term FROM u) WHERE term NOT IN ({stop}) GROUP BY ALL),
+un AS (SELECT kind, doc_id, line, sqrt(sum(pow(f * coalesce(idf, ln(1 + n) + 1), 2))) AS norm FROM uc JOIN size USING (kind) LEFT JOIN idf USING (kind, term) GROUP BY 1, 2, 3),
+dot AS (SELECT kind, doc_id, line, license, i, sum(f * idf * w) AS dot FROM uc JOIN idf USING (kind, term) JOIN tw USING (kind, term) GROUP BY ALL),
+hit AS (SELECT doc_id, line, license, round(dot / norm, 9) AS score FROM dot JOIN un USING (kind, doc_id, line) WHERE round(dot / norm, 9) >= CASE kind WHEN 'n' THEN {licenses.NOTICE_THRESHOLD} ELSE {licenses.TEXT_THRESHOLD} END),
+own AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY license = '{licenses.RESERVED}', score DESC, line, license) = 1),
+f AS (SELECT d.doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, is_file, license, score FROM d LEFT JOIN own USING (doc_id)),
+g AS (SELECT dir AS up, license, score FROM f WHERE is_file AND license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path, license) = 1),
+near AS (SELECT dir, up, g.license, g.score FROM (SELECT DISTINCT dir FROM f) JOIN g ON dir = up OR starts_with(dir, up || '/') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(up) DESC) = 1)
+SELECT doc_id, path, coalesce(f.license, near.license) AS license, coalesce(f.score, near.score) AS score,
+  CASE WHEN f.license IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN near.license IS NOT NULL THEN 'inherited' END AS via, CASE WHEN f.license IS NOT NULL THEN f.dir ELSE up END AS found_in
+FROM f LEFT JOIN near ON near.dir = f.dir
+"""
+
+
 #: DuckDB SQL for the operators whose results SQL can express.
 SQL = {
+    "op5_licenses": _licenses_sql(),
     "op8_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS s FROM p),
 f AS (SELECT s, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY 1)

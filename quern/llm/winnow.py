@@ -143,9 +143,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         places = places.join(prints, ["n", "print"], "left_semi").groupBy("doc_id", "same").agg(F.collect_set(F.struct("n", "at")).alias("hits"))
         places = written(places.select(F.col("doc_id").alias("hit_id"), F.col("same").alias("hit_same"), "hits"), "winnow-places")
         back = docs.join(F.broadcast(places) if _few(places) else places, docs.doc_id.eqNullSafe(F.col("hit_id")) & (docs.same == F.col("hit_same")))
-        # words are cut once a text, and only those around hits are exploded
+        # words are cut once a text, and only those around hits are exploded; an outer explode, as the condition that is
+        # drawn from an inner one would cut the words again for each hit
         around = F.transform("hits", lambda h: _around(F.col("tokens"), h["n"], h["at"], kinds))
-        near = back.select("doc_id", "same", words(F.col("text")).alias("tokens"), "hits").select("doc_id", "same", F.lit(False).alias("whole"), F.size("tokens").alias("n_words"), F.explode(around).alias("x"))
+        near = back.select("doc_id", "same", words(F.col("text")).alias("tokens"), "hits").select("doc_id", "same", F.lit(False).alias("whole"), F.size("tokens").alias("n_words"), F.explode_outer(around).alias("x")).where("x IS NOT NULL")
         base = cut.select("doc_id", "same", F.lit(True).alias("whole"), F.size("tokens").alias("n_words"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("int").alias("start"), F.lit(None).cast(windows.schema["item_id"].dataType).alias("item_id"))
         hits = _met(_starts(near), windows, "inner").union(base)
     # one row per document row with its hits; equal rows come back as often as they came

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import ann, chat, licenses, linededup, warc
+from quern.llm import ann, chat, linededup, warc
 from tests.llm import brute
 
 
@@ -136,40 +136,6 @@ def test_line_dedup_odd_rows(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
-# -- licences --
-
-
-def plain_score(text, template, templates=licenses.TEMPLATES):
-    import math
-    import re
-    from collections import Counter
-
-    idf, unknown, _, _ = licenses.weights(templates, licenses.THRESHOLD)
-    a, b = (Counter(re.findall(licenses.TERM, t.lower())) for t in (text, template))
-    w = lambda t: idf.get(t, unknown)
-    dot = sum(n * w(t) * b[t] * w(t) for t, n in a.items())
-    norm = math.sqrt(sum((n * w(t)) ** 2 for t, n in a.items()) * sum((n * w(t)) ** 2 for t, n in b.items()))
-    return dot / norm if norm else 0.0
-
-
-def test_license_scores(spark):
-    units = ["Released under the MIT License.", "/* licensed under the apache license, version 2.0. */", "the of and", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "all rights reserved", "", "license", "something else " * 40 + "MIT License", *licenses.TEMPLATES.values()]
-    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(units)], "key long, line int, body string")
-    got = {r["key"]: (r["license"], r["score"]) for r in licenses.matches(df).collect()}
-    for i, t in enumerate(units):
-        scored = sorted((-round(plain_score(t, x), 9), k) for k, x in licenses.TEMPLATES.items())
-        assert got.get(i) == ((scored[0][1], pytest.approx(-scored[0][0], abs=1e-8)) if -scored[0][0] >= licenses.THRESHOLD else None), t
-
-
-def test_license_inheritance(spark):
-    mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0"]
-    rows = [(1, "a/LICENSE", mit), (2, "a/b/c/x.py", "code"), (3, "a/b/LICENSE.txt", gpl), (4, "a/x.py", "// " + gpl + "\ncode"), (5, "z/x.py", None), (6, None, mit), (7, "top.py", ""), (8, "a/b/c/x.py", "code"), (None, "a/bb/y.py", "q"), (9, "z/license", "nothing here")]
-    df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("score", F.lit("x"))
-    got = {str(r["doc_id"]): (r["license"], r["via"], r["found_in"]) for r in licenses.scan(df).collect()}
-    assert got == {"1": ("MIT", "file", "a"), "2": ("GPL-3.0", "inherited", "a/b"), "3": ("GPL-3.0", "file", "a/b"), "4": ("GPL-3.0", "header", "a"), "5": (None, None, None), "6": ("MIT", "header", None), "7": (None, None, None), "8": ("GPL-3.0", "inherited", "a/b"), "None": ("MIT", "inherited", "a"), "9": (None, None, None)}
-    assert licenses.scan(df.limit(0)).count() == 0
-
-
 # -- WARC --
 
 
