@@ -116,3 +116,11 @@ def contains_all_words(columns: list[Column], q: str) -> Column:
     """Every word of the query is a word of the columns."""
     tokens = F.split(F.lower(F.concat_ws(" ", *columns)), r"[^a-z0-9]+")
     return F.lit(True) if not q.split() else reduce(lambda a, b: a & b, [F.array_contains(tokens, w) for w in q.lower().split()])
+
+
+def listed(df: DataFrame, wanted: dict[str, object], columns: list[Column], q: str | None = None) -> DataFrame:
+    """Rows under optional filters, left out where they are None, and an optional text."""
+    for name, value in wanted.items():
+        if value is not None:
+            df = df.where(F.col(name) == F.lit(value))
+    return df.where(contains_text(columns, q)) if q else df

@@ -57,3 +57,8 @@ def in_fixed_order(df: DataFrame, column: str, order: tuple[str, ...], *more: Co
     from quern.functions.text import ranked_in
 
     return df.orderBy(ranked_in(F.col(column), order), *more)
+
+
+def nulls_last(columns: list[str], descending: tuple[str, ...] = ()) -> list[Column]:
+    """An order whose nulls come last, whichever way a column is sorted."""
+    return [F.desc_nulls_last(c) if c in descending else F.asc_nulls_last(c) for c in columns]
