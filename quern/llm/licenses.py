@@ -41,6 +41,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -112,7 +113,7 @@ SPDX = {
 # Words without a weight.
 STOP = "a all an and any are as at be by for from has have if in is it its may no not of on or other such that the their this to under was which will with work you your".split()
 #: Words that texts are full of, most frequent first: the first that do not tell a notice.
-FREQUENT = "use used copy name names person anyone version license 3 2 terms one file software code source free subject following conditions copies".split()
+FREQUENT = "2 3 19 29 1.0 2.0 2.1 1991 do so can v into must list either use used copy name names person anyone version terms one file form free later software code source program library language general license subject following conditions copies".split()
 #: Whole licences, one file each; public texts, named by SPDX identifier.
 FOLDER = Path(__file__).with_name("license_texts")
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -171,11 +172,38 @@ class Weights:
 
 
 def any_of(words: list[str]) -> str:
-    """A pattern for any of the sorted words as whole terms, words with one first character together."""
+    """A pattern for any of the sorted words as whole terms, A-Z like a-z, words with one first character together."""
     groups: dict[str, list[str]] = {}
     for w in words:
         groups.setdefault(w[0], []).append(re.escape(w[1:]))
-    return r"(?<![a-z0-9])(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in groups.items()) + r")(?![a-z0-9])"
+    first = "".join(map(re.escape, groups))  # looked at before the words are tried one after another
+    return rf"(?i)(?<![a-z0-9])(?=[{first}])(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in groups.items()) + r")(?![a-z0-9])"
+
+
+def _once(value: Column | str, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once: a lambda variable stands for it."""
+    return F.element_at(F.transform(F.array(value), lambda x: then(x)), 1)
+
+
+def may_reach(terms: Column, w: Weights, threshold: float) -> Column:
+    """Whether a unit can reach the threshold, by a bound.
+
+    Of its squared length, terms of templates must make up the threshold's
+    square. They make up (1 + ln n)^2 of the largest frequency each at most,
+    n being what repetitions allow, and each unknown term at least one.
+    """
+    counts = F.struct(
+        F.size(terms).alias("all"),
+        F.size(F.array_distinct(terms)).alias("distinct"),
+        F.size(F.array_intersect(terms, F.lit([*w.idf]))).alias("known"),
+        F.size(F.array_intersect(terms, F.lit(STOP))).alias("stop"),
+    )
+
+    def bound(c: Column) -> Column:
+        most = c["known"] * F.pow(1 + F.log(c["all"] - c["distinct"] + 1), 2)
+        return most * (1 - threshold**2) >= (c["distinct"] - c["known"] - c["stop"]) * threshold**2 - 1e-6
+
+    return _once(counts, bound)
 
 
 def matches(units: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
@@ -183,7 +211,8 @@ def matches(units: DataFrame, templates: list[tuple[str, str]], threshold: float
     spark, w = units.sparkSession, Weights(templates)
     stop = [(t, 0.0, [0.0] * len(w.licenses)) for t in STOP]
     known = spark.createDataFrame([(t, w.idf[t], w.rows[t]) for t in w.idf] + stop, "term string, idf double, weights array<double>")
-    units = units.select("key", "line", F.array_sort(F.regexp_extract_all(ascii_lower(F.col("body")), F.lit(TERM), F.lit(0))).alias("terms"))
+    units = units.select("key", "line", F.regexp_extract_all(ascii_lower(F.col("body")), F.lit(TERM), F.lit(0)).alias("terms"))
+    units = units.where(_once("terms", lambda terms: may_reach(terms, w, threshold))).select("key", "line", F.sort_array("terms").alias("terms"))
     # a unit's length takes all its terms, in order, so equal ones follow each other: all are taken as unknown here, and
     # those of templates, the only ones that leave the row, are put right below
     times = lambda n: 1 + F.log(n)
@@ -227,9 +256,9 @@ def scan(files: DataFrame, doc_id: str = "doc_id", path: str = "path", text: str
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("body"))), lambda x: F.length(x["body"]) > 0)
     parts = F.transform(F.split("text", r"\n[ \t\r\n]*\n"), lambda x, i: F.struct((i + BLOCKS).alias("line"), F.btrim(x, F.lit(" \t\r\n")).alias("body")))
     blocks = F.filter(parts, lambda x: F.contains(x["body"], F.lit("\n")))
-    told = rows.where(ascii_lower(F.col("text")).rlike(tells))
+    told = rows.where(F.col("text").rlike(tells))
     units = told.select(key, F.explode(F.concat(lines, blocks)).alias("x")).select("key", "x.line", "x.body")
-    found = matches(units.where(ascii_lower(F.col("body")).rlike(tells)), short, NOTICE_THRESHOLD)
+    found = matches(units.where(F.col("body").rlike(tells)), short, NOTICE_THRESHOLD)
     whole = rows.where(is_file & F.col("text").isNotNull()).select(key, F.lit(WHOLE).alias("line"), F.col("text").alias("body"))
     found = found.union(matches(whole, texts(), TEXT_THRESHOLD))
     # what reserves all rights comes after any licence
