@@ -167,3 +167,29 @@ def brief(kind: Column, facts: dict[str, Column], headline: Column, body: Column
 def shot_of(image: Column, file: Column) -> Column:
     """The thumbnail of an image struct, else the file itself (P5)."""
     return F.coalesce(image["thumbnailKey"], file)
+
+
+def is_uuid(column: Column) -> Column:
+    """Whether a text is a UUID (F23); false for null."""
+    return F.coalesce(column.rlike(r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lit(False))
+
+
+def decoded(column: Column) -> Column:
+    """Character references as characters: the usual named ones, and decimal ones of ASCII."""
+    out = F.regexp_replace(column, "&#0*39;", "'")
+    for code in (32, 34, 38, 45, 124):
+        out = F.regexp_replace(out, f"&#0*{code};", chr(code))
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("ndash", "\u2013"), ("mdash", "\u2014"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return out
+
+
+def html_title(html: Column) -> Column:
+    """The title of a page on one line; null if there is none."""
+    return F.nullif(one_line(decoded(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
+
+
+def html_description(html: Column) -> Column:
+    """The description a page gives of itself, by name or by property; null if there is none."""
+    ways = (r"""(?is)<meta[^>]+name=["']description["'][^>]*content=["']([^"']*)""", r"""(?is)<meta[^>]+property=["']og:description["'][^>]*content=["']([^"']*)""")
+    return F.coalesce(*[F.nullif(one_line(decoded(F.regexp_extract(html, w, 1))), F.lit("")) for w in ways])

@@ -124,3 +124,13 @@ def listed(df: DataFrame, wanted: dict[str, object], columns: list[Column], q: s
         if value is not None:
             df = df.where(F.col(name) == F.lit(value))
     return df.where(contains_text(columns, q)) if q else df
+
+
+def yes_no_of(condition: Column) -> Column:
+    """A condition as the facet values yes and no."""
+    return F.when(condition, F.lit("yes")).otherwise(F.lit("no"))
+
+
+def yes_no(count: Column) -> Facet:
+    """A count as a facet of yes and no."""
+    return Facet(yes_no_of(F.coalesce(count, F.lit(0)) > 0))
