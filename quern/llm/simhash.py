@@ -17,6 +17,9 @@ come from these by alternating large-star and small-star rounds.
 Defined results
   null or empty text  no words: fingerprint 0, linked like any other
   few words           the whole sequence is the one shingle
+  long text           all shingles count, in pieces of 65,536
+  ties                a bit that is set in exactly half the hashes is 0
+  extra columns       not carried
   repeated rows       each gets its row; equal fingerprints are one node
   null doc_id         keeps its row; it never names a component unless all its ids are null
   empty table         empty result
@@ -34,7 +37,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import written
 
-LEAF = 48
+#: Members of a shard, or of two sides of a boundary, that are compared without another vantage point.
+LEAF = 16
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -71,6 +75,7 @@ class _Forest:
     def __init__(self, size: int):
         self.up = list(range(size))
         self.edges: list[tuple[int, int]] = []
+        self.compared = 0
 
     def root(self, x: int) -> int:
         up = self.up
@@ -87,6 +92,7 @@ class _Forest:
 
 
 def _brute(fp: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, forest: _Forest, same: bool) -> None:
+    forest.compared += len(a) * (len(a) - 1) // 2 if same else len(a) * len(b)
     near = np.bitwise_count(fp[a][:, None] ^ fp[b][None, :]) <= radius
     i, j = np.nonzero(np.triu(near, 1) if same else near)
     forest.join(zip(a[i].tolist(), b[j].tolist(), strict=True))
@@ -103,6 +109,7 @@ def link_within(fp: np.ndarray, a: np.ndarray, radius: int, forest: _Forest) ->
             _brute(fp, a, a if b is None else b, radius, forest, b is None)
             continue
         vantage = fp[(a if b is None or len(a) >= len(b) else b)[0]]
+        forest.compared += len(a) + (0 if b is None else len(b))
         da = np.bitwise_count(fp[a] ^ vantage).astype(np.int16)
         db = None if b is None else np.bitwise_count(fp[b] ^ vantage).astype(np.int16)
         mu = int(np.median(da if db is None else np.concatenate([da, db])))
