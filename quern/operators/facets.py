@@ -69,20 +69,20 @@ def facet_counts(df: DataFrame, facets: dict[str, Facet], filters: Filters, extr
     fails = sum(((~c).cast("int") for c in ok.values()), F.lit(0))
     first = F.coalesce(*[F.when(~c, F.lit(k)) for k, c in ok.items()]) if ok else F.lit(None).cast("string")
     seen = df.select(fails.alias("__fails"), first.alias("__only"), *[f.value.alias(f"__v_{k}") for k, f in facets.items()]).where("__fails <= 1")
-    entries = []
+    # one array of structs a row; plain arrays and no lambdas, so that it stays in generated code
+    single, several = [], []
     for k, f in facets.items():
-        counts = (F.col("__fails") == 0) | (F.col("__only") == k)
-        values = F.array_compact(F.col(f"__v_{k}")) if f.is_array else F.array_compact(F.array(F.col(f"__v_{k}").cast("string")))
-        entries.append(F.when(counts, _entries(k, values)).otherwise(F.array().cast("array<struct<key:string,value:string>>")))
+        value = F.when((F.col("__fails") == 0) | (F.col("__only") == k), F.col(f"__v_{k}"))
+        if f.is_array:
+            value = F.array_compact(F.coalesce(value, F.array())).cast("array<string>")
+            several.append(F.arrays_zip(F.array_repeat(F.lit(k), F.size(value)).alias("key"), value.alias("value")))
+        else:
+            single.append(F.when(value.isNotNull(), F.struct(F.lit(k).alias("key"), value.cast("string").alias("value"))))
     mark = F.when(F.col("__fails") == 0, F.struct(F.lit("#total").alias("key"), F.lit("").alias("value"))).otherwise(F.struct(F.lit("#near").alias("key"), F.col("__only").alias("value")))
-    told = seen.select(F.explode(F.concat(*entries, F.array(mark))).alias("e")).select("e.key", "e.value")
+    told = seen.select(F.explode(F.concat(F.array(*single, mark), *several)).alias("e")).where("e IS NOT NULL").select("e.key", "e.value")
     return told.groupBy("key", "value").agg(F.count("*").alias("n"))
 
 
-def _entries(key: str, values: Column) -> Column:
-    return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(key).alias("key"), v.cast("string").alias("value")))
-
-
 def ordered(counts: DataFrame) -> DataFrame:
     """Facet order: key, then count descending, then value (A5)."""
     return counts.orderBy("key", F.desc("n"), "value")

@@ -92,20 +92,21 @@ def other_hosts(df: DataFrame, keys: list[str], host: str, row_id: str) -> DataF
 def trigrams(word: Column) -> Column:
     """Distinct trigrams of a word padded with two blanks before and one after (H6)."""
     padded = F.concat(F.lit("  "), F.lower(word), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, 3)))
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 def similar_terms(words: DataFrame, word: str, vocabulary: DataFrame, term: str, least: float = 0.3, carry: tuple[str, ...] = (), same: bool = False) -> DataFrame:
     """(word, term, similarity) of words and other terms that share enough trigrams.
 
     With ``same`` a word also meets itself; ``carry`` are columns of the vocabulary to keep.
+    A term is one row of the vocabulary; few words are broadcast, so that terms that share nothing go at once.
 
     Trigrams are joined by equality and shared ones counted; the similarity is
     shared over distinct, so no two words without a common trigram are compared.
     """
     a = words.select(F.col(word).alias("word")).distinct().withColumn("g", trigrams(F.col("word")))
-    b = vocabulary.select(F.col(term).alias("term"), *carry).distinct().withColumn("g", trigrams(F.col("term")))
-    ga = a.select("word", F.size("g").alias("na"), F.explode("g").alias("gram"))
+    b = vocabulary.select(F.col(term).alias("term"), *carry).withColumn("g", trigrams(F.col("term")))
+    ga = small(a.select("word", F.size("g").alias("na"), F.explode("g").alias("gram")))
     gb = b.select("term", *carry, F.size("g").alias("nb"), F.explode("g").alias("gram"))
     met = ga.join(gb, "gram")
     shared = (met if same else met.where("word <> term")).groupBy("word", "term", *carry, "na", "nb").agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,7 +145,11 @@ def matched_groups(docs: DataFrame, doc_id: str, fields: dict[str, str], groups:
     ``fields`` maps A, B or C to a column. A phrase is words beside each other.
     """
     rows = docs.where(condition) if condition is not None else docs
-    joined = {w: F.concat(F.lit(" "), F.array_join(tokens(F.col(c)), " "), F.lit(" ")) for w, c in fields.items()}
+    # words two blanks apart, so that neighbours never share one; worked out once a text
+    joined = {w: F.concat(F.lit("  "), F.array_join(tokens(F.col(c)), "  "), F.lit("  ")) for w, c in fields.items()}
+    firsts = {m.group() for group in groups for term in group.terms if (m := re.search(r"[a-z0-9]+(?:'[a-z]+)?", term.lower()))}
+    if firsts:  # a text without the first word of any term has no match; that is cheaper to see than its words
+        rows = rows.where(reduce(lambda a, b: a | b, [F.coalesce(F.lower(F.col(c)).contains(t), F.lit(False)) for c in fields.values() for t in sorted(firsts)]))
     told = []
     for g, group in enumerate(groups):
         for w in fields:
@@ -159,10 +164,9 @@ def matched_groups(docs: DataFrame, doc_id: str, fields: dict[str, str], groups:
 
 
 def occurrences(spaced: Column, needle: str) -> Column:
-    """How often a blank-padded needle occurs in a blank-padded text; neighbours may share their blank."""
-    doubled = F.replace(spaced, F.lit(" "), F.lit("  "))
+    """How often a term occurs in a text whose words lie two blanks apart and two from its ends."""
     wide = " " + needle.strip().replace(" ", "  ") + " "
-    return ((F.length(doubled) - F.length(F.replace(doubled, F.lit(wide), F.lit("")))) / len(wide)).cast("int")
+    return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(wide), F.lit("")))) / len(wide)).cast("int")
 
 
 def text_candidates(matches: DataFrame, doc_id: str, limit: int = CANDIDATES) -> DataFrame:
