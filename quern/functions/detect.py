@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -206,3 +208,11 @@ def industry(buckets: list[tuple[Column, float]], keywords: dict[str, list[str]]
         return F.named_struct(*[x for k, v in fields.items() for x in (F.lit(k), v)])
 
     return named(hits, lambda h: named(ranked(h), verdict))
+
+
+def probe(html: Column) -> Column:
+    """platform, signals and store of a quick look at a page."""
+    low = F.lower(html)
+    kind = F.coalesce(*[F.when(reduce(lambda a, b: a & b, [low.contains(m) for m in marks]), F.lit(name)) for marks, name in fixed.PROBE_PLATFORMS])
+    signals = signal_count(html, fixed.PROBE_SIGNALS)
+    return F.struct(kind.alias("platform"), signals.alias("signals"), (F.coalesce(kind.isin(*fixed.PROBE_STORES), F.lit(False)) | (signals >= 3)).alias("store"))

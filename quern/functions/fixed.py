@@ -225,3 +225,14 @@ KIND_ALIASES = {
     "quiz-finder": (("quiz",), ("finder",)),
     "store-locator": (("stockists",),),
 }
+
+# What a quick look at a page goes by, first platform wins; all marks of one entry must show.
+PROBE_PLATFORMS = (
+    (("cdn.shopify.com",), "shopify"), (("shopify.theme",), "shopify"), (("woocommerce",), "woocommerce"), (("/wp-content/",), "wordpress"), (("bigcommerce.com",), "bigcommerce"), (("data-wf-site",), "webflow"),
+    (("squarespace",), "squarespace"), (("wixstatic.com",), "wix"), (("demandware",), "salesforce"), (("/static/version", "mage/"), "magento"), (("/_next/",), "nextjs"),
+)
+PROBE_STORES = ("shopify", "woocommerce", "bigcommerce", "magento", "salesforce")
+PROBE_SIGNALS = (
+    "add to cart", "add-to-cart", "addtocart", 'href="/cart', "checkout", '"@type":"product"', '"@type": "product"', "data-product", "product-form", "/products/", "/collections/", "/product/",
+    "buy now", "shop now", "shopping bag", "shopping cart", "your cart", "basket", "free shipping", "sold out", "add to bag",
+)

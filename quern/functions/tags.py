@@ -77,3 +77,16 @@ def sent_size(width: Column, height: Column, most: int = 1568) -> Column:
 
 def image_tokens(width: Column, height: Column, per_token: int = 750) -> Column:
     return F.ceil(width * height / per_token).cast("long")
+
+
+def text_tokens(chars: Column) -> Column:
+    """About three characters a token."""
+    return F.ceil(chars / 3).cast("long")
+
+
+def estimate_request(system: Column, context: Column, width: Column, height: Column, expected: Column, price: Column, most: int = 1024) -> Column:
+    """input and output tokens and cost of a request, at their upper end; ``system`` and ``context`` are in characters."""
+    sent = sent_size(width, height)
+    taken = text_tokens(system) + text_tokens(context) + image_tokens(sent["width"], sent["height"]) + 20
+    given = F.least(F.lit(most), expected)
+    return F.struct(taken.alias("input_tokens"), given.alias("output_tokens"), batch_cost(taken, given, F.lit(0), F.lit(0), price).alias("cost"))

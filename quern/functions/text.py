@@ -193,3 +193,34 @@ def html_description(html: Column) -> Column:
     """The description a page gives of itself, by name or by property; null if there is none."""
     ways = (r"""(?is)<meta[^>]+name=["']description["'][^>]*content=["']([^"']*)""", r"""(?is)<meta[^>]+property=["']og:description["'][^>]*content=["']([^"']*)""")
     return F.coalesce(*[F.nullif(one_line(decoded(F.regexp_extract(html, w, 1))), F.lit("")) for w in ways])
+
+
+def platform_family(platform: Column) -> Column:
+    """Variants of one platform as one family."""
+    low = F.lower(F.coalesce(F.nullif(platform, F.lit("")), F.lit("unknown")))
+    return F.when(low.startswith("squarespace"), "squarespace").when(low.startswith("wix"), "wix").when(low == "wordpress", "woocommerce").otherwise(low)
+
+
+def lane_for(hint: Column) -> Column:
+    """Which of the two request lanes a site takes."""
+    return F.when(F.lower(F.coalesce(hint, F.lit(""))).contains("shopify"), "shopify").otherwise("other")
+
+
+def limit_key(kind: str, value: Column) -> Column:
+    """A counter's key: the kind and a short hash, never the value itself."""
+    return F.concat(F.lit(f"{kind}:"), F.substring(base64url(F.unhex(F.sha2(F.lower(F.trim(value)), 256))), 1, 22))
+
+
+def token_hash(token: Column) -> Column:
+    return F.sha2(token, 256)
+
+
+def page_key(block_id: Column, host: Column, url: Column) -> Column:
+    """The page part of a block id of more than two steps, else host and address."""
+    steps = F.split(block_id, "/")
+    return F.when(F.size(steps) > 2, F.array_join(F.slice(steps, 1, F.greatest(F.size(steps) - 2, F.lit(0))), "/")).otherwise(F.concat_ws(" ", host, url))
+
+
+def position_of(block_id: Column) -> Column:
+    """The number in a block id's last step, 0 if it is none."""
+    return F.coalesce(F.substring_index(block_id, "/", -1).try_cast("int"), F.lit(0))

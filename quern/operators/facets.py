@@ -134,3 +134,8 @@ def yes_no_of(condition: Column) -> Column:
 def yes_no(count: Column) -> Facet:
     """A count as a facet of yes and no."""
     return Facet(yes_no_of(F.coalesce(count, F.lit(0)) > 0))
+
+
+def named_types(counts: DataFrame, key: str) -> DataFrame:
+    """Values of one facet that name a kind, parts left out, most frequent first."""
+    return counts.where((F.col("key") == key) & ~F.col("value").endswith("-part")).orderBy(F.desc("n"), "value")

@@ -115,3 +115,24 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 def union_distinct(frames: list[DataFrame]) -> DataFrame:
     return union_all(frames).distinct()
+
+
+def refresh_view(df: DataFrame, path: str) -> DataFrame:
+    """Recompute a stored table and swap it in (U9): readers see the old rows or the new ones, never part of either.
+
+    The new rows are written beside the table and take its name by renaming;
+    the old ones are deleted last.
+    """
+    spark = df.sparkSession
+    jvm = spark._jvm
+    new, old = (f"{path.rstrip('/')}-{name}-{jvm.java.util.UUID.randomUUID().toString()}" for name in ("new", "old"))
+    df.write.parquet(new)
+    at = jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if files.exists(at(path)) and not files.rename(at(path), at(old)):
+        raise OSError(f"{path} cannot be moved aside")
+    if not files.rename(at(new), at(path)):
+        files.rename(at(old), at(path))
+        raise OSError(f"{new} cannot take the name {path}")
+    files.delete(at(old), True)
+    return spark.read.schema(df.schema).parquet(path)

@@ -62,3 +62,10 @@ def in_fixed_order(df: DataFrame, column: str, order: tuple[str, ...], *more: Co
 def nulls_last(columns: list[str], descending: tuple[str, ...] = ()) -> list[Column]:
     """An order whose nulls come last, whichever way a column is sorted."""
     return [F.desc_nulls_last(c) if c in descending else F.asc_nulls_last(c) for c in columns]
+
+
+def site_order(by: str, blocks: str = "blocks", rank: str = "rank", brand: str = "brand") -> list[Column]:
+    """Sorts of a grid of sites (O11): ``az``, ``traffic``, or what is captured most."""
+    if by == "az":
+        return [F.asc(brand)]
+    return ([] if by == "traffic" else [F.desc(blocks)]) + nulls_last([rank, brand])

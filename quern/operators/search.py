@@ -257,3 +257,23 @@ def relevant(text: Column, wanted: list[str], unwanted: list[str] = ()) -> Colum
     for p in unwanted:
         ok = ok & ~text.rlike(f"(?i){p}")
     return F.coalesce(ok, F.lit(False))
+
+
+def embed_changed(rows: DataFrame, keys: list[str], content: Column, embedder: Callable[[str], list[float]], model: str, known: DataFrame | None = None, batch: int = 128) -> DataFrame:
+    """(keys, embedding, hash) of rows whose model and content are not those on record.
+
+    What has not changed never reaches the embedder. Each task asks for ``batch``
+    texts at a time; a task that fails runs again as a whole.
+    """
+    todo = rows.select(*keys, content.alias("__content")).withColumn("hash", F.sha2(F.concat(F.lit(f"{model}\n"), "__content"), 256))
+    if known is not None:
+        todo = todo.join(known.select(*keys, "hash"), [*keys, "hash"], "left_anti").select(*keys, "__content", "hash")
+
+    def embed(parts):
+        for pdf in parts:
+            for at in range(0, len(pdf), batch):
+                some = pdf.iloc[at : at + batch]
+                yield some.assign(embedding=[embedder(t) for t in some["__content"]]).drop(columns="__content")
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.drop("__content").schema)
+    return todo.mapInPandas(embed, f"{fields}, embedding array<double>")

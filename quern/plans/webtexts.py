@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import colour, detect, fixed, tags, text
-from quern.operators import facets, profiles
+from quern.operators import facets, paging, profiles, search
 from quern.plans.registry import query, table
 from quern.sources import files, manifests
 
@@ -285,3 +285,84 @@ def near_miss_of_text(spark, sf_dir):
     named = facets.Facet(facets.yes_no_of(facets.contains_text([F.col("p_name")], "ring")))
     counts = facets.facet_counts(table(spark, sf_dir, "part"), {"type": facets.Facet(F.col("p_type")), "q": named}, facets.Filters({"type": ["ECONOMY"], "q": ["yes"]}))
     return facets.near_misses(counts).where("key = 'q'")
+
+
+def _b64(x: str) -> str:
+    return f"rtrim(translate(to_base64(unhex(sha256({x}))), '+/', '-_'), '=')"
+
+
+@query(
+    "SELECT s_suppkey, ['unknown', 'squarespace', 'wix', 'woocommerce', 'shopify'][s_suppkey % 5 + 1] AS family, CASE WHEN s_suppkey % 5 = 4 THEN 'shopify' ELSE 'other' END AS lane, 'mail:' || substr(" + _b64("lower(s_name)") + ", 1, 22) AS limit_key, sha256(s_name) AS token_hash, "
+    "CASE WHEN s_suppkey % 2 = 0 THEN 'shop/page' ELSE 'h u' END AS page_key, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 30 ELSE 0 END::INTEGER AS position FROM supplier"
+)
+def small_keys(spark, sf_dir):
+    """Families, lanes, counter keys, token hashes and the parts of ids."""
+    n = F.col("s_suppkey")
+    named = F.get(F.array(F.lit(None).cast("string"), *map(F.lit, ("Squarespace-commerce", "wix-stores", "WordPress", "Shopify"))), (n % 5).cast("int"))
+    block = F.when(n % 2 == 0, F.concat(F.lit("shop/page/desktop/"), (n % 30).cast("string"))).otherwise("a/b")
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", text.platform_family(named).alias("family"), text.lane_for(named).alias("lane"), text.limit_key("mail", F.concat(F.lit(" "), F.upper("s_name"))).alias("limit_key"), text.token_hash(F.col("s_name")).alias("token_hash"),
+        text.page_key(block, F.lit("h"), F.lit("u")).alias("page_key"), text.position_of(block).alias("position"),
+    )
+
+
+PROBED = "(SELECT page_id, html || ['', '<script src=\"//CDN.shopify.com\">', ' /static/version1/mage/ ', ' woocommerce Add to cart ', ' buy now Shop Now basket sold out'][page_id % 5 + 1] AS html FROM pages)"
+PROBE_SQL = "CASE " + " ".join("WHEN " + " AND ".join(f"contains(l, {_sql(m)})" for m in marks) + f" THEN {_sql(k)}" for marks, k in fixed.PROBE_PLATFORMS) + " END"
+
+
+@query(
+    f"WITH l AS (SELECT page_id, lower(html) AS l FROM {PROBED}), f AS (SELECT page_id, {PROBE_SQL} AS platform, {' + '.join(f'contains(l, {_sql(m)})::INTEGER' for m in fixed.PROBE_SIGNALS)} AS signals FROM l) SELECT *, coalesce(platform IN ({', '.join(map(_sql, fixed.PROBE_STORES))}), false) OR signals >= 3 AS store FROM f"
+)
+def page_probes(spark, sf_dir):
+    """Platform, signals and verdict of a quick look at pages."""
+    tails = ("", '<script src="//CDN.shopify.com">', " /static/version1/mage/ ", " woocommerce Add to cart ", " buy now Shop Now basket sold out")
+    html = F.concat("html", F.get(F.array(*map(F.lit, tails)), (F.col("page_id") % 5).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", detect.probe(html).alias("p")).select("page_id", "p.platform", "p.signals", "p.store")
+
+
+@query(
+    "WITH s AS (SELECT o_orderkey, least(1.0, 1568.0 / greatest(o_custkey + 900, 2000)) AS k, o_custkey + 900 AS w FROM orders), t AS (SELECT o_orderkey, ceil(3001 / 3.0)::BIGINT + ceil((o_orderkey % 50) / 3.0)::BIGINT + ceil(greatest(floor(w * k + 0.5), 1) * greatest(floor(2000 * k + 0.5), 1) / 750)::BIGINT + 20 AS input_tokens, least(1024, 900 + o_orderkey % 300)::INTEGER AS output_tokens FROM s) "
+    "SELECT o_orderkey, input_tokens, output_tokens, round((input_tokens * 2.0 + output_tokens * 10.0) * 0.5 / 1e6, 9) AS cost FROM t"
+)
+def request_estimates(spark, sf_dir):
+    """Tokens and cost of requests before they are sent."""
+    price = tags.price_of(F.lit("model-a"), [("^model", 2.0, 10.0)])
+    n = F.col("o_orderkey")
+    found = tags.estimate_request(F.lit(3001), n % 50, F.col("o_custkey") + 900, F.lit(2000), (900 + n % 300).cast("int"), price)
+    return table(spark, sf_dir, "orders").select("o_orderkey", found.alias("e")).select("o_orderkey", "e.input_tokens", "e.output_tokens", F.round("e.cost", 9).alias("cost"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#2' AND (contains(lower(p_name), 'ring') OR contains(lower(p_type), 'ring'))")
+def viewer_filters(spark, sf_dir):
+    """Single values and a text over the index of blocks; what is not set filters nothing."""
+    return facets.listed(table(spark, sf_dir, "part"), {"p_brand": "Brand#2", "p_type": None}, [F.col("p_name"), F.col("p_type")], " RING").select("p_partkey")
+
+
+@query("SELECT 'type' AS key, p_type AS value, count(*) AS n FROM part WHERE p_size % 3 <> 0 GROUP BY 2")
+def named_types(spark, sf_dir):
+    """Types that name a kind of block, without parts."""
+    kind = F.when(F.col("p_size") % 3 == 0, F.concat("p_type", F.lit("-part"))).otherwise(F.col("p_type"))
+    return facets.named_types(facets.facet_counts(table(spark, sf_dir, "part"), {"type": facets.Facet(kind)}, facets.Filters()), "type")
+
+
+SITES = "SELECT s_suppkey, s_nationkey AS blocks, nullif(s_suppkey % 7, 0) AS rank, s_name AS brand FROM supplier"
+
+
+@query(
+    f"WITH s AS ({SITES}) SELECT 'az' AS sort, s_suppkey, row_number() OVER (ORDER BY brand) AS n FROM s QUALIFY n <= 30 UNION ALL SELECT 'traffic', s_suppkey, row_number() OVER (ORDER BY rank NULLS LAST, brand) AS n FROM s QUALIFY n <= 30 UNION ALL SELECT 'captured', s_suppkey, row_number() OVER (ORDER BY blocks DESC, rank NULLS LAST, brand) AS n FROM s QUALIFY n <= 30"
+)
+def site_sorts(spark, sf_dir):
+    """The first sites by name, by traffic and by what is captured."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("blocks"), F.nullif(F.col("s_suppkey") % 7, F.lit(0)).alias("rank"), F.col("s_name").alias("brand"))
+    parts = [paging.numbered(rows, paging.site_order(by), 30, 0).select(F.lit(by).alias("sort"), "s_suppkey", "n") for by in ("az", "traffic", "captured")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("SELECT p_partkey, sha256('stand-in' || chr(10) || p_type || ' block. ' || p_name) AS hash, 64 AS size FROM part WHERE p_partkey % 3 <> 0")
+def embedding_job(spark, sf_dir):
+    """Vectors of the rows whose text has changed; a third is on record."""
+    rows = table(spark, sf_dir, "part")
+    content = text.embedding_input(F.col("p_type"), F.col("p_name"), F.lit(""), F.lit(""))
+    known = rows.where("p_partkey % 3 = 0").select("p_partkey", F.sha2(F.concat(F.lit("stand-in\n"), content), 256).alias("hash"))
+    found = search.embed_changed(rows, ["p_partkey"], content, search.hashing_embedder(64), "stand-in", known)
+    return found.select("p_partkey", "hash", F.size("embedding").alias("size"))

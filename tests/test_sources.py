@@ -130,3 +130,16 @@ def test_subscription_stream(spark, tmp_path):
     got = streams.run_once(streams.subscription_outcomes(stream, {"p": "pro"}), "subs", "append", str(tmp_path / "c")).collect()
     want = state.subscription_outcomes(df.withColumn("relevant", F.lit(True)), plans={"p": "pro"}).collect()
     assert sorted((r["event_id"], r["outcome"]) for r in got) == sorted((r["event_id"], r["outcome"]) for r in want)
+
+
+def test_refresh_view_swaps_whole_tables(spark, tmp_path):
+    from quern.operators import mutations
+
+    path = str(tmp_path / "terms")
+    first = mutations.refresh_view(spark.range(5), path)
+    assert first.count() == 5
+    assert mutations.refresh_view(spark.range(10, 13), path).count() == 3
+    # a table may be refreshed from its own rows
+    assert mutations.refresh_view(spark.read.parquet(path).where("id > 10"), path).count() == 2
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [11, 12]
+    assert [p.name for p in tmp_path.iterdir()] == ["terms"]
