@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,17 +48,19 @@ def wall_pack(df: DataFrame, group: str, order: str, width: str, row_width: int,
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
-        widths, waiting = rows[width].tolist(), list(range(len(rows)))
+        widths, later = rows[width].tolist(), iter(range(len(rows)))
+        ahead = list(islice(later, LOOK_AHEAD))  # only these are looked at, so a wall takes linear time
         place: dict[int, tuple[int, int]] = {}
         row = x = 0
-        while waiting:
-            fit = next((i for i in waiting[:LOOK_AHEAD] if x == 0 or x + widths[i] <= row_width), None)
+        while ahead:
+            fit = next((k for k, i in enumerate(ahead) if x == 0 or x + widths[i] <= row_width), None)
             if fit is None:
                 row, x = row + 1, 0
                 continue
-            place[fit] = (row, x)
-            waiting.remove(fit)
-            x += widths[fit] + gap
+            i = ahead.pop(fit)
+            ahead += islice(later, 1)
+            place[i] = (row, x)
+            x += widths[i] + gap
         return rows.assign(row=[place[i][0] for i in range(len(rows))], x=[place[i][1] for i in range(len(rows))]).astype({"row": "int32", "x": "int64"})
 
     schema = df.drop("row", "x").schema.simpleString()[7:-1]

@@ -112,7 +112,10 @@ def round_robin_sample(spark, sf_dir):
     return ranking.round_robin(rows, "c_nationkey", [F.desc("c_acctbal"), F.asc("c_custkey")], 40).select("c_custkey", "c_nationkey", "pick")
 
 
-@query()
+@query(
+    "WITH s AS (SELECT c_mktsegment AS g, count(*) AS n, least(100, (SELECT count(*) FROM customer)) AS total, (SELECT count(*) FROM customer) AS size FROM customer GROUP BY 1), q AS (SELECT g, total, total * n / size AS share FROM s), r AS (SELECT *, row_number() OVER (ORDER BY floor(share) - share, g) AS i, sum(floor(share)) OVER () AS given FROM q) "
+    "SELECT c_custkey, c_mktsegment FROM customer JOIN r ON g = c_mktsegment QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= any_value(floor(share) + CASE WHEN i <= total - given THEN 1 ELSE 0 END) OVER (PARTITION BY c_mktsegment)"
+)
 def quota_sample(spark, sf_dir):
     """Customers by proportional shares of their segments."""
     return ranking.quota_sample(table(spark, sf_dir, "customer"), "c_mktsegment", [F.desc("c_acctbal"), F.asc("c_custkey")], 100, 5).select("c_custkey", "c_mktsegment")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,9 +57,11 @@ def read_host_reasons(spark: SparkSession, path: str) -> DataFrame:
 def read_ranks(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
     """``rank,host`` lines; a ZIP is unpacked once into ``folder``, which executors have to reach."""
     if path.endswith(".zip"):
+        if folder is None:
+            raise ValueError("a ZIP needs a folder to unpack into, one that all executors reach")
         with zipfile.ZipFile(path) as z:
             name = next(n for n in z.namelist() if n.endswith(".csv"))
-            path = z.extract(name, folder or str(Path(path).parent))
+            path = z.extract(name, folder)
     return spark.read.schema("rank int, host string").csv(path)
 
 
