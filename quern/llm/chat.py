@@ -21,6 +21,7 @@ are escaped first.
 Defined results
   null text, null role  empty
   null or tied turns    nulls first, then by role and text
+  long text             a node holds a whole turn; its pack is closed after it
   null conv_id          the rows without id are one conversation
   repeated rows         repeated turns
   empty table           no packs

@@ -12,6 +12,8 @@ where a cut falls into one that holds several groups: 4096 at first and at most
 
 Defined results
   null text      no bytes: size 1, crc32 0; all null texts are one group
+  long text      its group is not cut: the capacity is its size at least
+  ties           equal hashes are one group; rows of a shard are numbered in the order of their cells
   repeated rows  each row has its own slot
   empty table    empty result
   few groups     shards without a group stay empty

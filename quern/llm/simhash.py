@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import written
+from quern.llm.common import dropped, written
 
 #: Members of a shard, or of two sides of a boundary, that are compared without another vantage point.
 LEAF = 16
@@ -194,7 +194,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root): the smallest node of the component of each node with an edge.
 
     Alternating large-star and small-star rounds; each round is written to the
-    shared folder, and rounds end when the edges stop changing.
+    shared folder, the one before is deleted, and rounds end when the edges stop
+    changing.
     """
     star = lambda e: e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     summed = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
@@ -207,7 +208,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         large = written(star(large), label)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        edges = written(star(small), label)
+        edges, last = written(star(small), label), edges
+        dropped(last, large)
         after = summed(edges)
         if after == before:
             break

@@ -27,6 +27,7 @@ Defined results
   null url        the target URI is left out
   null page_id    a record without page id; such records revisit others but are never the smallest, unless all are null: then all are responses
   repeated rows   rows that repeat the smallest page_id are responses like it, with the same record id
+  ties            of rows with one page id, each is a record
   empty table     no bundles, an empty index
   long payloads   a frame holds at least one whole record, however long
   extra columns   not carried
