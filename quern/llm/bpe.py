@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded_batches
+from quern.llm.common import aside, bounded_batches
 
 END = "</w>"
 #: Bytes of pieces that a worker remembers, twice over, before it forgets, and the longest piece it
@@ -267,8 +267,9 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             yield pa.StructArray.from_arrays([ids, pa.array(decoded, pa.string())], ["ids", "decoded"])
 
     bounded_batches(docs.sparkSession)
+    docs, back = aside(docs, "__coded")
     kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    return docs.select(*kept, coded(docs[text]).alias("__coded")).select(*kept, "__coded.*")
+    return docs.select(*kept, coded(docs[text]).alias("__coded")).select(*kept, "__coded.*").withColumnsRenamed(back)
 
 
 def digest(found: DataFrame, *more: str) -> DataFrame:

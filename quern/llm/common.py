@@ -57,6 +57,22 @@ def dropped(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of these names renamed, and the names to give back to them.
+
+    For the names an operator uses itself: columns of the input that happen to
+    have them come through as they are.
+    """
+    taken, back = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.lower() in names:
+            new = f"__aside_{c}"
+            while new.lower() in taken:
+                new += "_"
+            back[new] = c
+    return df.withColumnsRenamed({old: new for new, old in back.items()}) if back else df, back
+
+
 def ascii_lower(column):
     """Lower-case A-Z only; other characters stay as they are."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

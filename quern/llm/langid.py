@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import aside
+
 BITS, ORDERS, PIECE = 15, (1, 2, 3), 1 << 20
 UNKNOWN = "und"
 
@@ -154,8 +156,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             names, scores = shared.value.predict(texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang_pred", "score"])
 
-    kept = [docs[c] for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, scored(docs[text]).alias("__scored")).select(*[c for c in docs.columns if c not in ("lang_pred", "score")], "__scored.*")
+    docs, back = aside(docs, "__scored")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*kept, scored(docs[text]).alias("__scored")).select(*kept, "__scored.*").withColumnsRenamed(back)
 
 
 def is_held_out(doc_id: Column) -> Column:

@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded_batches, dropped, written
+from quern.llm.common import aside, bounded_batches, dropped, written
 
 LEAST_WORDS = 8
 #: White space that is cut from the ends of a line.
@@ -201,6 +201,7 @@ def common_blocks(earlier: list[tuple[int, int, bytes, int]], later: list[tuple[
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the text that is left, and ``n_lines``, ``n_removed`` and ``sources`` (ids of the earlier documents)."""
     bounded_batches(docs.sparkSession, rows=500, size=8 << 20)
+    docs, back = aside(docs, "__me", "__text", "__cuts", "__sources", "__left")
     me = F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("h"))
     line = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(BLANKS)).alias("body"))), lambda x: x["body"] != "")
     lines = (
@@ -257,4 +258,4 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
         F.coalesce(F.size(whole) - F.size("__left"), F.lit(0)).alias("n_removed"),
         F.coalesce("__sources", F.array().cast("array<long>")).alias("sources"),
     )
-    return out.select(*[c for c in docs.columns if c in kept_columns or c == text], "n_lines", "n_removed", "sources")
+    return out.select(*[c for c in docs.columns if c in kept_columns or c == text], "n_lines", "n_removed", "sources").withColumnsRenamed(back)
