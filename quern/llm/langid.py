@@ -4,16 +4,16 @@ Training counts the n-grams (n = 1..3, lower-cased, hashed into 2^15 buckets)
 of every labelled text, summed on the cluster; the driver only sees the sums,
 one row per language and bucket. The matrix of log-probabilities is broadcast:
 its size is ``max_langs`` x buckets x 8 bytes at most. Texts are scored in
-batches of about 2^20 characters: the n-grams of a batch are one sparse matrix
-of texts and buckets, as two arrays of row and column numbers, and its product
-with the log-probabilities is a weighted count of rows for each language.
+batches of about 2^16 characters: the n-grams of a batch are a sparse matrix by
+rows (texts), and its product with a language's log-probabilities is one look-up
+and one sum over the rows.
 
 Defined results
   null text, no letter  ``und`` with score 0
   empty label           null labels are not learned from; others are languages as they stand
   no labelled rows      every text is ``und`` with score 0
   many labels           all are learned; more than ``max_langs`` are an error
-  long text             all of it counts, in pieces of 2^20 characters
+  long text             all of it counts, in pieces of 2^16 characters
   ties                  the language that sorts first
   repeated rows         scored alike; each counts in training
   empty table           no rows, or a model without languages
@@ -32,15 +32,18 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import aside
 
-BITS, ORDERS, PIECE = 15, (1, 2, 3), 1 << 20
+BITS, ORDERS, PIECE = 15, (1, 2, 3), 1 << 16
+NONE, FACTOR = 1 << BITS, np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 
 
-def batches(texts: Iterable[str], piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, buckets): the n-grams of the texts, in batches of about ``piece`` characters.
+def batches(texts: Iterable[str], piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, starts, buckets): the n-grams of texts, in batches of about ``piece`` characters, each order on its own.
 
-    A row is a text's number; rows rise within each order of n-grams. Longer
-    texts are cut, each piece with the characters that its last n-grams need.
+    A batch is a sparse matrix by rows: ``rows`` are the numbers of the texts,
+    ``starts`` where their buckets start. Longer texts are cut, each piece with
+    the characters that its last n-grams need. Places where no n-gram begins
+    hold the bucket ``NONE``.
     """
     held, size = [], 0
     for row, text in enumerate(texts):
@@ -49,29 +52,33 @@ def batches(texts: Iterable[str], piece: int = PIECE) -> Iterator[tuple[np.ndarr
             held.append((row, codes[at : at + piece + ORDERS[-1] - 1], min(piece, len(codes) - at)))
             size += held[-1][2]
             if size >= piece:
-                yield _grams(held)
+                yield from _grams(held)
                 held, size = [], 0
     if held:
-        yield _grams(held)
+        yield from _grams(held)
 
 
-def _grams(held: list[tuple[int, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and buckets of pieces: (row, code points, how many of these begin an n-gram)."""
+def _grams(held: list[tuple[int, np.ndarray, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """One sparse matrix an order, of pieces: (row, code points, how many of these begin an n-gram)."""
     codes = np.concatenate([c for _, c, _ in held]).astype(np.uint64)
-    sizes = np.array([len(c) for _, c, _ in held])
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    place = np.arange(len(codes))
-    begins = np.repeat(np.cumsum(sizes) - sizes + np.array([n for *_, n in held]), sizes) > place
-    row = np.repeat(np.array([r for r, *_ in held]), sizes)
-    rows, found = [], []
+    sizes, rows = np.array([len(c) for _, c, _ in held]), np.array([r for r, *_ in held])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    late = [(a + n, b) for a, b, (_, c, n) in zip(starts.tolist(), ends.tolist(), held, strict=True) if n < len(c)]
+    mixed = np.zeros(len(codes), np.uint64)
     for n in ORDERS:
-        at = np.flatnonzero(begins & (place + n <= ends))
-        mixed = np.full(len(at), n, np.uint64)
-        for i in range(n):
-            mixed = (mixed ^ codes[at + i]) * np.uint64(0x9E3779B97F4A7C15)
-        rows.append(row[at])
-        found.append((mixed >> np.uint64(64 - BITS)).astype(np.int64))
-    return np.concatenate(rows), np.concatenate(found)
+        found = np.full(len(codes), NONE, np.int64)
+        if (size := len(codes) - n + 1) > 0:
+            mixed[:size] = n
+            for i in range(n):
+                np.bitwise_xor(mixed[:size], codes[i : i + size], out=mixed[:size])
+                np.multiply(mixed[:size], FACTOR, out=mixed[:size])
+            found[:size] = mixed[:size] >> np.uint64(64 - BITS)
+        for i in range(1, n):  # these reach beyond their piece
+            found[np.maximum(ends - i, starts)] = NONE
+        for a, b in late:
+            found[a:b] = NONE
+        yield rows, starts, found
 
 
 def has_letter(text: str) -> bool:
@@ -91,7 +98,7 @@ def lettered(column: Column) -> Column:
 
 @dataclass
 class Model:
-    """Languages in order, and log-probabilities: languages x (buckets + prior)."""
+    """Languages in order, log-probabilities of languages x buckets (0 for ``NONE``), and of languages alone."""
 
     langs: list[str]
     logp: np.ndarray
@@ -102,10 +109,9 @@ class Model:
         asked = [i for i, t in enumerate(texts) if self.langs and t is not None and has_letter(t)]
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         total = np.tile(self.prior, (len(asked), 1))
-        for rows, found in batches(texts[i] for i in asked):
-            first, last = rows.min(), rows.max() + 1
+        for rows, starts, found in batches(texts[i] for i in asked):
             for k, row in enumerate(self.logp):
-                total[first:last, k] += np.bincount(rows - first, row[found], last - first)
+                np.add.at(total[:, k], rows, np.add.reduceat(row[found], starts))
         if asked:
             best = total.argmax(axis=1)
             scores[asked] = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
@@ -129,13 +135,15 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", max_langs: int
         sums: dict[int, np.ndarray] = {}
         for batch in parts:
             labels = np.array([at[x] for x in batch.column(1).to_pylist()])
-            for rows, found in batches(t.as_py() for t in batch.column(0)):
-                of = labels[rows]
-                for k in np.unique(of).tolist():
-                    row = sums.setdefault(k, np.zeros(1 << BITS, np.int64))
-                    row += np.bincount(found[of == k], minlength=1 << BITS)
+            order = np.argsort(labels, kind="stable")  # texts of a language beside each other
+            for rows, starts, found in batches(batch.column(0)[int(i)].as_py() for i in order):
+                of = labels[order[rows]]
+                cuts = np.flatnonzero(np.diff(of, prepend=-1))
+                for k, a, b in zip(of[cuts].tolist(), starts[cuts].tolist(), [*starts[cuts[1:]].tolist(), len(found)], strict=True):
+                    row = sums.setdefault(k, np.zeros(NONE + 1, np.int64))
+                    row += np.bincount(found[a:b], minlength=NONE + 1)
         for k, row in sums.items():
-            used = np.flatnonzero(row)
+            used = np.flatnonzero(row[:NONE])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k, np.int32)), pa.array(used.astype(np.int32)), pa.array(row[used])], ["lang", "bucket", "n"])
 
     sums = rows.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -143,7 +151,8 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", max_langs: int
     found = sums.toArrow()  # one row per language and bucket at most
     np.add.at(counts, (found["lang"].to_numpy(), found["bucket"].to_numpy()), found["n"].to_numpy().astype(float))
     prior = np.array([r["count"] for r in sorted(seen, key=lambda r: r["lang"])], float)
-    return Model(langs, np.log(counts / counts.sum(axis=1, keepdims=True)), np.log(prior / prior.sum()))
+    logp = np.log(counts / counts.sum(axis=1, keepdims=True))
+    return Model(langs, np.hstack([logp, np.zeros((len(langs), 1))]), np.log(prior / prior.sum()))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

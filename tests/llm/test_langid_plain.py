@@ -42,12 +42,13 @@ def plain(train, texts):
     return out
 
 
-@pytest.mark.parametrize("piece", [7, 1000, 1 << 20])
+@pytest.mark.parametrize("piece", [1, 2, 7, 1000, 1 << 20])
 def test_batches_hold_every_gram_once(piece):
     texts = ["", "a", "ab", "Über ALLES, 日本語 😀" * 5, "x" * 23, "hello world"]
     got = Counter()
-    for rows, found in langid.batches(texts, piece):
-        got.update(zip(rows.tolist(), found.tolist(), strict=True))
+    for rows, starts, found in langid.batches(texts, piece):
+        for row, a, b in zip(rows.tolist(), starts.tolist(), [*starts[1:].tolist(), len(found)], strict=True):
+            got.update((row, g) for g in found[a:b].tolist() if g != langid.NONE)
     assert got == Counter((i, g) for i, t in enumerate(texts) for g in grams(t))
 
 
