@@ -128,7 +128,7 @@ def sample_items(manifests: DataFrame, most: int = 400) -> DataFrame:
     """Blocks that have an image, texts cut to ``most`` characters."""
     rows = manifests.select("folder", F.col("site.host").alias("host"), F.col("page.type").alias("page_type"), F.explode("blocks").alias("b")).where(F.col("b.file").isNotNull())
     directory = F.regexp_extract("folder", r"([^/]+/[^/]+)$", 1)
-    return rows.select(F.concat_ws("/", directory, "b.viewport", F.col("b.index").cast("string")).alias("id"), "host", "page_type", F.col("b.typeHint").alias("type_hint"), F.substring("b.text", 1, most).alias("text"), F.col("b.file").alias("file"))
+    return rows.select(F.concat_ws("/", directory, "b.viewport", F.col("b.index").cast("string")).alias("id"), "host", "page_type", F.col("b.typeHint").alias("type_hint"), F.substring(clean(F.col("b.text")), 1, most).alias("text"), F.col("b.file").alias("file"))
 
 
 def api_items(blocks: DataFrame, captures: DataFrame, pages: DataFrame, sites: DataFrame, most: int = 400) -> DataFrame:
