@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, chat, langid, licenses, linededup, shards, simhash, warc, winnow
+from quern.llm import ann, bpe, chat, filteraudit, langid, licenses, linededup, shards, simhash, warc, winnow
 from quern.llm.common import table
 
 
@@ -71,8 +71,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.packs(conversations.union(probe)))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op2_neighbours, op3_line_dedup, op4_simhash, op5_licenses, op6_shards, op7_langid, op8_warc, op9_decontamination, op10_chat]
+    found = [op1_bpe, op2_neighbours, op3_line_dedup, op4_simhash, op5_licenses, op6_shards, op7_langid, op8_warc, op9_decontamination, op10_chat, op11_filter_audit]
     return {f.__name__: f for f in found}
 
 
@@ -111,8 +115,28 @@ FROM f LEFT JOIN near ON near.dir = f.dir
 """
 
 
+WHITE_SQL = r"[\x20\x09-\x0D]+"
+AUDIT_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, [x FOR x IN string_split_regex(t, '{WHITE_SQL}') IF x <> ''] AS ws, doc_id > min(doc_id) OVER (PARTITION BY t) AS copy FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY 1),
+m AS (SELECT doc_id, part, (len(ws) < 50)::INT AS a, (100 * len(list_distinct(ws)) < 65 * len(ws))::INT AS b, (100 * (length(t) - length(translate(t, '{UPPER}', ''))) > 5 * length(t))::INT AS c,
+  regexp_matches(t, '[#$%&*|]')::INT AS d, coalesce(copy, false)::INT AS e FROM w),
+k AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(bad, 0)) AS bad FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f(name, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, list_sum(bits[1:step - 1])::INT AS before FROM (SELECT *, unnest(range(1, 6)) AS step FROM o)),
+r AS (SELECT part, filter_order, step, bit, sum(n) FILTER (WHERE mask & (coalesce(before, 0) | bit) = 0) AS kept, sum(n) FILTER (WHERE mask & bit > 0 AND mask & coalesce(before, 0) = 0) AS removed,
+  sum(n) FILTER (WHERE mask & bit > 0 AND mask & coalesce(before, 0) > 0) AS redundant, sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+  sum(good) FILTER (WHERE mask & bit > 0 AND mask & coalesce(before, 0) = 0) AS good_lost, sum(bad) FILTER (WHERE mask & bit > 0 AND mask & coalesce(before, 0) = 0) AS toxic_lost
+  FROM s, k GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM r
+"""
+
 #: DuckDB SQL for the operators whose results SQL can express.
 SQL = {
+    "op11_filter_audit": AUDIT_SQL,
     "op5_licenses": _licenses_sql(),
     "op8_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS s FROM p),
