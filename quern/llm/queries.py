@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, chat, filteraudit, langid, licenses, linededup, shards, simhash, warc, winnow
+from quern.llm import ann, bpe, chat, divergence, filteraudit, langid, licenses, linededup, shards, simhash, warc, winnow
 from quern.llm.common import table
 
 
@@ -75,8 +75,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op2_neighbours, op3_line_dedup, op4_simhash, op5_licenses, op6_shards, op7_langid, op8_warc, op9_decontamination, op10_chat, op11_filter_audit]
+    found = [op1_bpe, op2_neighbours, op3_line_dedup, op4_simhash, op5_licenses, op6_shards, op7_langid, op8_warc, op9_decontamination, op10_chat, op11_filter_audit, op13_divergence]
     return {f.__name__: f for f in found}
 
 
@@ -134,8 +138,28 @@ SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept,
   coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM r
 """
 
+DIVERGENCE_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{divergence.TERM}') AS ts FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(ts) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ts)) AS term FROM d) GROUP BY ALL HAVING count(*) >= {divergence.LEAST_DOCS}),
+x AS (SELECT c.* FROM c JOIN k USING (lang, term)),
+lt AS (SELECT lang, term, sum(n) AS n FROM x GROUP BY ALL),
+lv AS (SELECT lang, count(*) AS v, sum(n) AS total FROM lt GROUP BY ALL),
+gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN x ON x.lang = g.lang AND x.source = g.source GROUP BY ALL),
+p AS (SELECT gn.lang, gn.source, k.term, coalesce(x.n, 0) AS n, (1 + ({divergence.SCALE}::HUGEINT * (coalesce(x.n, 0) + 1)) // (gn.total + v))::HUGEINT AS p
+  FROM gn JOIN lv USING (lang) JOIN k USING (lang) LEFT JOIN x ON x.lang = gn.lang AND x.source = gn.source AND x.term = k.term),
+q AS (SELECT lang, term, (1 + ({divergence.SCALE}::HUGEINT * (n + 1)) // (total + v))::HUGEINT AS q FROM lt JOIN lv USING (lang)),
+pair AS (SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+tv AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM pair LEFT JOIN pv USING (lang, source, item) UNION ALL SELECT lang, source, 'term', item, value::BIGINT FROM tv)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r QUALIFY part = 'pair' OR rank <= {divergence.TOP}
+"""
+
 #: DuckDB SQL for the operators whose results SQL can express.
 SQL = {
+    "op13_divergence": DIVERGENCE_SQL,
     "op11_filter_audit": AUDIT_SQL,
     "op5_licenses": _licenses_sql(),
     "op8_warc": """
