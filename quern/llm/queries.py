@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, chat, divergence, filteraudit, langid, licenses, linededup, shards, simhash, warc, winnow
+from quern.llm import ann, bpe, chat, divergence, filteraudit, langid, licenses, linededup, secretscan, shards, simhash, warc, winnow
 from quern.llm.common import table
 
 
@@ -75,12 +75,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secretscan.digest(secretscan.scan(docs, secretscan.train(docs)))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op2_neighbours, op3_line_dedup, op4_simhash, op5_licenses, op6_shards, op7_langid, op8_warc, op9_decontamination, op10_chat, op11_filter_audit, op13_divergence]
+    found = [op1_bpe, op2_neighbours, op3_line_dedup, op4_simhash, op5_licenses, op6_shards, op7_langid, op8_warc, op9_decontamination, op10_chat, op11_filter_audit, op12_secrets, op13_divergence]
     return {f.__name__: f for f in found}
 
 
@@ -138,6 +143,44 @@ SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept,
   coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM r
 """
 
+def _secrets_sql() -> str:
+    """Patterns, training and scoring in SQL."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    either = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in secretscan.NAMES)
+    assign = quoted(rf"""({either})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    access, hexes, run = quoted(secretscan.ACCESS), quoted(secretscan.HEX), quoted(f"{secretscan.RUN}{{{secretscan.LEAST_RUN},}}")
+    both = lambda body, pattern: f"regexp_extract_all({body}, {pattern}) AS f, string_split_regex({body}, {pattern}) AS g"
+    # the start of the i-th match: all that lies before it
+    at = "coalesce(list_sum([length(x) FOR x IN g[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN f[1:i - 1]]), 0)"
+    base = assign[:-1] + "|" + access[1:-1] + "|" + hexes[1:]
+    n = secretscan.SAMPLES
+    return f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+am AS (SELECT r, t, {both('t', assign)} FROM t),
+a AS (SELECT r, {at} AS s, length(f[i]) AS n, length(regexp_extract(f[i], {assign}, 2)) AS v FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM am)),
+gaps AS (SELECT r, coalesce(list_sum([length(x) FOR x IN g[1:i - 1]]), 0) + coalesce(list_sum([length(x) FOR x IN f[1:i - 1]]), 0) AS o, g[i] AS body FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM am)),
+k AS (SELECT r, {at} AS s, length(f[i]) AS n FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (SELECT r, {both('t', access)} FROM t))),
+h AS (SELECT r, {at} AS s, length(f[i]) AS n FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (SELECT r, {both('t', hexes)} FROM t))),
+c AS (SELECT row_number() OVER () AS c, r, o + {at} AS s, f[i] AS run FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (SELECT r, o, {both('body', run)} FROM gaps))
+  WHERE length(f[i]) = strlen(f[i]) AND NOT regexp_matches(f[i], {hexes[:-1] + '|' + access[1:]})),
+w AS (SELECT word FROM (SELECT unnest(list_distinct(regexp_extract_all(regexp_replace(t, {base}, ' ', 'g'), {quoted(f"{secretscan.RUN}{{{secretscan.LEAST_WORD},}}")}))) AS word FROM t)
+  WHERE length(word) = strlen(word) GROUP BY 1 HAVING count(*) >= {secretscan.LEAST_DOCS}),
+m AS (SELECT 'random' AS label, sha256('hex' || i) AS word FROM range({n}) v(i) UNION ALL SELECT 'random', rtrim(to_base64(unhex(sha256('base64' || i))), '=') FROM range({n}) v(i)
+  UNION ALL SELECT 'random', translate(upper(to_base64(unhex(sha256('upper' || i)))), '+/=', '') FROM range({n}) v(i)
+  UNION ALL SELECT 'ordinary', ('0x' || sha256('number' || i)[1:15])::BIGINT::VARCHAR FROM range({n}) v(i) UNION ALL SELECT 'ordinary', word FROM w),
+pc AS (SELECT label, word[i] AS a, word[i + 1] AS b, count(*) AS n FROM (SELECT label, word, unnest(range(1, length(word))) AS i FROM m) GROUP BY ALL),
+al AS (SELECT unnest(string_split('{secretscan.ALPHABET}', '')) AS x),
+lp AS (SELECT l.label, x.x AS a, y.x AS b, log2((coalesce(n, 0) + 1) / (sum(coalesce(n, 0)) OVER (PARTITION BY l.label, x.x) + {len(secretscan.ALPHABET)})) AS p
+  FROM (VALUES ('random'), ('ordinary')) l(label), al x, al y LEFT JOIN pc ON pc.label = l.label AND pc.a = x.x AND pc.b = y.x),
+sc AS (SELECT r.a, r.b, round(1000 * (r.p - o.p))::BIGINT AS score FROM lp r JOIN lp o ON r.a = o.a AND r.b = o.b AND r.label = 'random' AND o.label = 'ordinary'),
+added AS (SELECT r, s, n FROM (SELECT c, any_value(r) AS r, any_value(s) AS s, any_value(length(run)) AS n, sum(score) AS score FROM (SELECT *, unnest(range(1, length(run))) AS i FROM c) JOIN sc ON run[i] = a AND run[i + 1] = b GROUP BY c) WHERE score >= {secretscan.ODDS * 1000}),
+sp AS (SELECT r, s, 0 AS k, 'assign' AS kind, n FROM a WHERE v >= {secretscan.LEAST_VALUE} UNION ALL SELECT r, s, 1, 'access', n FROM k UNION ALL SELECT r, s, 2, 'hex', n FROM h UNION ALL SELECT r, s, 3, 'model', n FROM added),
+z AS (SELECT r, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+  string_agg(concat(kind, ':', s::BIGINT, ':', (s + n)::BIGINT), ',' ORDER BY s, k) FILTER (WHERE k < 3) AS base, string_agg(concat(kind, ':', s::BIGINT, ':', (s + n)::BIGINT), ',' ORDER BY s, k) AS spans FROM sp GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN z USING (r)
+"""
+
+
 DIVERGENCE_SQL = rf"""
 WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{divergence.TERM}') AS ts FROM documents),
 g AS (SELECT DISTINCT lang, source FROM d),
@@ -159,6 +202,7 @@ SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, so
 
 #: DuckDB SQL for the operators whose results SQL can express.
 SQL = {
+    "op12_secrets": _secrets_sql(),
     "op13_divergence": DIVERGENCE_SQL,
     "op11_filter_audit": AUDIT_SQL,
     "op5_licenses": _licenses_sql(),
