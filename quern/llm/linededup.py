@@ -6,18 +6,25 @@ each line on and back from each line. Lines are common; runs of so many words
 are rare, and any block of that many words is the union of the runs within it.
 The earliest document that holds a run stands for all that hold it: each later
 one is paired with it, so a run in n documents makes n - 1 pairs at most and no
-run, rare or frequent, needs a cap. Each pair is aligned once, with patience
-diff: lines that are once in either document anchor the alignment, and the parts
-between anchors are aligned the same way. Aligned lines that follow each other
-in both documents are a block; blocks of ``least_words`` words or more are
-deleted from the later document. An alignment rises in both documents, so runs
-that moved or come twice are left by it; those of the later document that the
-earlier one holds are aligned each on its own and deleted as well.
+run, rare or frequent, needs a cap.
+
+Each pair is aligned with patience diff: lines that are once in either document
+anchor the alignment, and the parts between anchors are aligned the same way.
+Aligned lines that follow each other in both documents are a block; blocks of
+``least_words`` words or more are deleted from the later document. Nothing else
+is. An alignment rises in both documents, so it leaves runs that moved or come
+twice: what is left of a pair (the shared runs that lie in no block yet, and
+where the earlier document has them) is aligned again, ROUNDS times or as long as
+that finds blocks, and after that each run with its own place in the earlier
+document, until no shared run is left.
 
 So a later document loses exactly the lines that lie in a block which any
 earlier document holds in a row. The first document with a block keeps it:
 whatever it is aligned with comes before it and would have to hold the block.
 
+The later documents of one first holder meet it in parts of PART, so it is read
+once for each part, and a holder of any number of copies is no hot key.
+
 Order: by doc_id, nulls first; rows that share an id, by the hash of their text.
 
 Defined results
@@ -47,6 +54,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import aside, bounded_batches, dropped, written
 
 LEAST_WORDS = 8
+#: Alignments of what is left of a pair before its runs are aligned one by one.
+ROUNDS = 8
+#: Later documents that meet their first holder in one group.
+PART = 256
 #: White space that is cut from the ends of a line.
 BLANKS = " \t\r\x0b\x0c"
 
@@ -179,22 +190,49 @@ def _key(lines: list[tuple[int, int, bytes, int]], a: int, b: int) -> bytes:
     return md5(b"".join(x[2] for x in lines[a : b + 1])).digest()
 
 
-def common_blocks(earlier: list[tuple[int, int, bytes, int]], later: list[tuple[int, int, bytes, int]], least_words: int, held: set[bytes] | None = None) -> list[tuple[int, int]]:
-    """First and last line of all blocks of the later document that the earlier one holds.
+def places_of(lines: list[tuple[int, int, bytes, int]], least_words: int) -> dict[bytes, tuple[int, int]]:
+    """Where each run of a document stands first."""
+    found: dict[bytes, tuple[int, int]] = {}
+    for a, b in runs(lines, least_words):
+        found.setdefault(_key(lines, a, b), (a, b))
+    return found
 
-    ``held`` may give the keys of the earlier document's runs, to save working them out again.
-    """
-    found = blocks(earlier, later, least_words)
-    starts = [a for a, _ in found]  # these rise, and blocks of an alignment do not overlap
 
-    def inside(a: int, b: int) -> bool:
-        at = bisect_right(starts, a) - 1
-        return at >= 0 and b <= found[at][1]
+def _outside(shared: list, found: list[tuple[int, int]], later: list[tuple[int, int, bytes, int]]) -> list:
+    """The shared runs that lie in none of the blocks."""
+    ordered = sorted(found)
+    starts, ends = [a for a, _ in ordered], [b for _, b in ordered]
+    for k in range(1, len(ends)):
+        ends[k] = max(ends[k], ends[k - 1])
+
+    def inside(run: tuple[int, int]) -> bool:
+        at = bisect_right(starts, later[run[0]][1]) - 1
+        return at >= 0 and later[run[1]][1] <= ends[at]
 
-    left = [(a, b) for a, b in runs(later, least_words) if not inside(later[a][1], later[b][1])]
-    if left:
-        held = held if held is not None else {_key(earlier, a, b) for a, b in runs(earlier, least_words)}
-        found = found + [(later[a][1], later[b][1]) for a, b in left if _key(later, a, b) in held]
+    return [x for x in shared if not inside(x[0])]
+
+
+def common_blocks(earlier: list[tuple[int, int, bytes, int]], later: list[tuple[int, int, bytes, int]], least_words: int, places: dict[bytes, tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """First and last line of the aligned blocks that hold all runs of the later document which the earlier one has.
+
+    ``places`` may give the earlier document's runs, to save working them out again.
+    """
+    places = places if places is not None else places_of(earlier, least_words)
+    found = blocks(earlier, later, least_words)
+    shared = [((a, b), place) for a, b in runs(later, least_words) if (place := places.get(_key(later, a, b)))]
+    left = _outside(shared, found, later)
+    for _ in range(ROUNDS):
+        if not left:
+            break
+        mine, theirs = ([lines[i] for i in sorted({i for x in left for i in range(x[k][0], x[k][1] + 1)})] for k, lines in ((0, later), (1, earlier)))
+        more = blocks(theirs, mine, least_words)
+        found += more
+        rest = _outside(left, more, later)
+        if len(rest) == len(left):
+            break
+        left = rest
+    for (a, b), (c, d) in left:
+        found += blocks(earlier[c : d + 1], later[a : b + 1], least_words)
     return found
 
 
@@ -226,26 +264,34 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     held_runs = written(sequences.mapInArrow(in_row, "me struct<id: long, h: long>, key binary"), "lines-runs")
     firsts = written(held_runs.groupBy("key").agg(F.min("me").alias("first"), F.max("me").alias("last")).where("first < last").select("key", "first"), "lines-first")
     pairs = written(held_runs.join(firsts, "key").where("first < me").select("first", "me").distinct(), "lines-pairs")
+    # written, so that both sides of the joins have exchanges of their own, which can be split
+    hot = written(pairs.groupBy("first").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1"), "lines-hot")
     dropped(held_runs, firsts)
-    # the later document's lines go along with the pair; the earlier one's meet them last
-    aligned = pairs.join(sequences, "me").join(sequences.select(F.col("me").alias("first"), F.col("lines").alias("earlier")), "first")
+    parts = F.coalesce("parts", F.lit(1))
+    placed = written(pairs.join(hot, "first", "left").select("first", "me", F.pmod(F.xxhash64("me"), parts).cast("int").alias("part")), "lines-placed")
+    later = placed.join(sequences, "me").select("first", "part", "me", "lines")
+    # the first holder goes to each of its parts, as a row that is its own first
+    holders = placed.select("first", "part").distinct().join(sequences.select(F.col("me").alias("first"), "lines"), "first").select("first", "part", F.col("first").alias("me"), "lines")
+    together = later.unionByName(holders).repartition("first", "part").sortWithinPartitions("first", "part", "me")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, set()
+        first, earlier, places = None, [], {}
         for batch in batches:
             out = {"me": [], "source": [], "start": [], "end": []}
-            for n, (first, early, late) in enumerate(zip(batch.column(0).to_pylist(), _sequences(batch.column(2)), _sequences(batch.column(3)), strict=True)):
-                if first != last:  # many pairs in a row have one first holder
-                    last, held = first, {_key(early, a, b) for a, b in runs(early, least_words)}
-                for a, b in common_blocks(early, late, least_words, held):
-                    for name, value in zip(out, (n, first["id"], a, b), strict=True):
+            for n, (holder, me, lines) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _sequences(batch.column(2)), strict=True)):
+                if holder == me:  # sorted before all that are paired with it
+                    if holder != first:
+                        first, earlier, places = holder, lines, places_of(lines, least_words)
+                    continue
+                for a, b in common_blocks(earlier, lines, least_words, places):
+                    for name, value in zip(out, (n, holder["id"], a, b), strict=True):
                         out[name].append(value)
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(out["me"], pa.int32())), *(pa.array(out[c], t) for c, t in (("source", pa.int64()), ("start", pa.int32()), ("end", pa.int32())))], [*out])
 
-    cuts = aligned.select("first", "me", "earlier", "lines").mapInArrow(align, "me struct<id: long, h: long>, source long, start int, end int")
+    cuts = together.select("first", "me", "lines").mapInArrow(align, "me struct<id: long, h: long>, source long, start int, end int")
     cuts = cuts.groupBy(F.col("me").alias("__me")).agg(_merged(F.array_sort(F.collect_set(F.struct("start", "end")))).alias("__cuts"), F.array_sort(F.collect_set("source")).alias("__sources"))
     cuts = written(cuts, "lines-cuts")
-    dropped(sequences, pairs)
+    dropped(sequences, pairs, hot, placed)
     kept_columns = [c for c in docs.columns if c not in (text, "n_lines", "n_removed", "sources")]
     whole = F.split(F.col("__text"), "\n")
     left = F.filter(whole, lambda _, i: ~F.exists("__cuts", lambda c: (i >= c["start"]) & (i <= c["end"])))

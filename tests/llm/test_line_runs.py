@@ -2,8 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from quern.llm import linededup
 from tests.llm import brute
 
@@ -59,20 +57,54 @@ def test_all_earlier_documents_count(spark):
         assert {x for t in want.values() for x in t.split("\n")} >= set(pool) & {x for _, t in docs for x in t.split("\n")}
 
 
-def test_alignment_finds_most_blocks_itself(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    found = linededup.dedup_lines(docs.select("doc_id", "text")).where(F.size("sources") > 0).select("doc_id", "sources").collect()
-    texts, aligned, both = dict(rows), 0, 0
+def split(t):
+    lines = [(i, x.strip(linededup.BLANKS)) for i, x in enumerate(t.split("\n"))]
+    return [(n, i, x.encode(), len(x.split())) for n, (i, x) in enumerate((i, x) for i, x in lines if x)]
+
+
+def random_pair(rng):
+    """Texts with shared blocks, moved, repeated, cut and overlapping."""
+    pool = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.choice([1, 2, 3, 5, 9]))) for _ in range(12)]
+    part = lambda: pool[(at := rng.randrange(11)) : at + rng.randrange(1, 6)]
+    make = lambda tag: "\n".join(x for k in range(rng.randrange(1, 7)) for x in [*part(), *([f"{tag} {k}"] if rng.random() < 0.5 else []), *[""] * rng.randrange(2)])
+    return make("a"), make("b")
+
+
+def covered(found):
+    return {i for a, b in found for i in range(a, b + 1)}
+
+
+def test_repeated_alignment_finds_all_blocks():
+    rng, moved = random.Random(4), 0
+    for _ in range(3000):
+        a, b = random_pair(rng)
+        first, all_ = (covered(f(split(a), split(b), 8)) for f in (linededup.blocks, linededup.common_blocks))
+        assert all_ == brute.lines_cut([(1, a), (2, b)])[2]
+        moved += first < all_
+    assert moved > 300  # one alignment is not enough for these
+
+
+def test_only_aligned_lines_go(monkeypatch):
+    rng = random.Random(4)
+    pairs = [random_pair(rng) for _ in range(300)]
+    assert sum(bool(linededup.common_blocks(split(a), split(b), 8)) for a, b in pairs) > 100
+    monkeypatch.setattr(linededup, "patience", lambda a, b: [])
+    assert not any(linededup.common_blocks(split(a), split(b), 8) for a, b in pairs)
+    # an alignment that leaves out one line leaves it in the text
+    monkeypatch.undo()
+    whole, line = linededup.patience, b"w1 w2 w3 w4 w5 w6 w7 w8 w9"
+    monkeypatch.setattr(linededup, "patience", lambda a, b: [(i, j) for i, j in whole(a, b) if b[j] != line])
+    two = split(line.decode() + "\nx y z a b c d e f")
+    assert covered(linededup.common_blocks(two, two, 8)) == {1}
+
+
+def test_blocks_in_reverse_order():
+    lines = [f"line {i} of a text with more than eight words" for i in range(5000)]
+    found = linededup.common_blocks(split("\n".join(lines)), split("\n".join(lines[::-1])), 8)
+    assert covered(found) == set(range(5000))
 
-    def split(t):
-        lines = [(i, x.strip(linededup.BLANKS)) for i, x in enumerate(t.split("\n"))]
-        return [(n, i, x.encode(), len(x.split())) for n, (i, x) in enumerate((i, x) for i, x in lines if x)]
 
-    for r in found:
-        mine = split(texts[r["doc_id"]])
-        for s in r["sources"]:
-            theirs = split(texts[s])
-            aligned += len({i for a, b in linededup.blocks(theirs, mine, 8) for i in range(a, b + 1)})
-            both += len({i for a, b in linededup.common_blocks(theirs, mine, 8) for i in range(a, b + 1)})
-    assert 0.9 * both < aligned <= both
+def test_holder_of_many_copies(spark):
+    a, b = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine"
+    docs = [(i, f"{a}\nown {i}\n{b}" if i % 3 else f"{b}\n{a}") for i in range(1200)]
+    assert {d: t for d, (t, _) in left(spark, docs).items()} == {i: f"{b}\n{a}" if i == 0 else f"own {i}" if i % 3 else "" for i in range(1200)}
