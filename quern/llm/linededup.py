@@ -57,7 +57,7 @@ LEAST_WORDS = 8
 #: Alignments of what is left of a pair before its runs are aligned one by one.
 ROUNDS = 8
 #: Later documents that meet their first holder in one group.
-PART = 256
+PART = 64
 #: White space that is cut from the ends of a line.
 BLANKS = " \t\r\x0b\x0c"
 
