@@ -169,15 +169,19 @@ def occurrences(spaced: Column, needle: str) -> Column:
     return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(wide), F.lit("")))) / len(wide)).cast("int")
 
 
-def text_candidates(matches: DataFrame, doc_id: str, limit: int = CANDIDATES) -> DataFrame:
-    """(doc_id, coverage, weight, rank): by weight of matched groups, then weighted frequency, then id."""
+def text_scores(matches: DataFrame, doc_id: str) -> DataFrame:
+    """(doc_id, coverage, weight): weight of matched groups, and weighted frequency."""
     value = F.create_map(*[F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv])
     groups = matches.groupBy(doc_id, "group", "weight").agg(F.round(F.sum(F.try_element_at(value, F.col("field")) * (1 + F.log("tf"))), 9).alias("w"))
-    scored = groups.groupBy(doc_id).agg(F.sum("weight").alias("coverage"), F.round(F.sum("w"), 6).alias("weight"))
-    return _ranked(scored, [F.desc("coverage"), F.desc("weight"), F.asc(doc_id)], limit)
+    return groups.groupBy(doc_id).agg(F.sum("weight").alias("coverage"), F.round(F.sum("w"), 6).alias("weight"))
+
+
+def text_candidates(matches: DataFrame, doc_id: str, limit: int = CANDIDATES) -> DataFrame:
+    """(doc_id, coverage, weight, rank): by coverage, then weight, then id."""
+    return ranked(text_scores(matches, doc_id), [F.desc("coverage"), F.desc("weight"), F.asc(doc_id)], limit)
 
 
-def _ranked(scored: DataFrame, order: list[Column], limit: int) -> DataFrame:
+def ranked(scored: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """Numbered in order; the window only sees what the limit left."""
     return scored.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import functions as F
 
 from quern.functions import colour, detect, tags, text
-from quern.operators import facets, joins, search, versions
+from quern.operators import facets, joins, search, textindex, versions
 from quern.plans.registry import query, table
-from quern.sources import files
+from quern.sources import commits, files
 
 TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+(?:''[a-z]+)?')"
 VOCAB = f"SELECT term, count(*) AS docs FROM (SELECT unnest(list_distinct({TOKENS.format('text')})) AS term FROM documents) WHERE length(term) BETWEEN 3 AND 40 AND regexp_matches(term, '^[a-z][a-z''-]*$') GROUP BY 1"
@@ -82,12 +84,15 @@ def fts_coverage_topk(spark, sf_dir):
     return search.text_candidates(found, "doc_id")
 
 
-@query(
+FIELD_SQL = (
     f"WITH d AS (SELECT doc_id, lang, replace(' ' || array_to_string({TOKENS.format('text')}, ' ') || ' ', ' ', '  ') AS d FROM documents), m AS ("
     f"SELECT doc_id, 0 AS g, {_occ('the')} AS tf, 0.2 AS f FROM d UNION ALL SELECT doc_id, 0, 0, 1.0 FROM d UNION ALL SELECT doc_id, 1, {_occ('en')}, 0.2 FROM d UNION ALL SELECT doc_id, 1, CASE WHEN lang = 'en' THEN 1 ELSE 0 END, 1.0 FROM d"
     "), x AS (SELECT doc_id, g, round(sum(f * (1 + ln(tf))), 9) AS w FROM m WHERE tf > 0 GROUP BY 1, 2), s AS (SELECT doc_id, count(*) AS coverage, round(sum(w), 6) AS weight FROM x GROUP BY 1) "
     "SELECT *, row_number() OVER (ORDER BY coverage DESC, weight DESC, doc_id) AS rank FROM s QUALIFY rank <= 50"
 )
+
+
+@query(FIELD_SQL)
 def fts_field_rank(spark, sf_dir):
     """Two weighted fields: the language as field A, the text as field C."""
     groups = [search.Group(("the",)), search.Group(("en",))]
@@ -95,6 +100,43 @@ def fts_field_rank(spark, sf_dir):
     return search.text_candidates(found, "doc_id", 50)
 
 
+def documents_index(spark, sf_dir) -> textindex.Index:
+    """The positional index of the documents: built when the table has changed, read otherwise."""
+    root = f"{commits.workspace(spark)}/text-index-{crc32(sf_dir.encode()):08x}"
+    source = commits.signature(spark, f"{sf_dir}/documents.parquet")
+    return textindex.current(spark, root, source) or textindex.build(table(spark, sf_dir, "documents"), "doc_id", {"A": "lang", "C": "text"}, root, source=source)
+
+
+@query(f"WITH {RANK_SQL} SELECT doc_id, coverage, weight, rank FROM fts")
+def index_coverage_topk(spark, sf_dir):
+    """The rows of fts_coverage_topk, from the stored index."""
+    groups = search.read_query(Q, use_intents=False)
+    return textindex.top(documents_index(spark, sf_dir).only("C"), groups).withColumnRenamed("doc", "doc_id")
+
+
+@query(FIELD_SQL)
+def index_field_rank(spark, sf_dir):
+    """The rows of fts_field_rank, from the stored index."""
+    found = textindex.top(documents_index(spark, sf_dir), [search.Group(("the",)), search.Group(("en",))], 50)
+    return found.withColumnRenamed("doc", "doc_id")
+
+
+PHRASES = ("the the", "of the", "in the nation", "the the the")
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, replace(' ' || array_to_string({TOKENS.format('text')}, ' ') || ' ', ' ', '  ') AS d FROM documents), x AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{p}' AS phrase, cast((length(d) - length(replace(d, ' {p.replace(' ', '  ')} ', ''))) / {len(p.replace(' ', '  ')) + 2} AS BIGINT) AS times FROM d" for p in PHRASES)
+    + ") SELECT * FROM x WHERE times > 0"
+)
+def index_phrases(spark, sf_dir):
+    """How often documents hold some phrases, from positions alone."""
+    groups = [search.Group((p,)) for p in PHRASES]
+    names = F.array(*map(F.lit, PHRASES))
+    found = textindex.matched(documents_index(spark, sf_dir).only("C"), groups)
+    return found.select(F.col("doc").alias("doc_id"), F.get(names, "group").alias("phrase"), F.col("tf").cast("long").alias("times"))
+
+
 @query()
 def intent_query(spark, sf_dir):
     """A query that names a kind of block, over the raw pages."""
