@@ -112,3 +112,46 @@ def similar_terms(words: DataFrame, word: str, vocabulary: DataFrame, term: str,
     shared = (met if same else met.where("word <> term")).groupBy("word", "term", *carry, "na", "nb").agg(F.count("*").alias("n"))
     scored = shared.select("word", "term", *carry, (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("similarity"))
     return scored.where(F.col("similarity") >= least)
+
+
+def gram_counts(sets: DataFrame, grams: str = "grams") -> DataFrame:
+    """(gram, df): in how many sets each gram is."""
+    return sets.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+
+
+def by_rarity(sets: DataFrame, key: str, counts: DataFrame, grams: str = "grams", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carry, grams): each set, one row a key, with its grams from the rarest on; those not counted come first."""
+    each = sets.select(key, *carry, F.explode(grams).alias("gram")).join(counts, "gram", "left")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0).cast("long")).alias("df"), "gram"))), lambda x: x["gram"])
+    return each.groupBy(key, *carry).agg(ordered.alias("grams"))
+
+
+def prefix(grams: Column, least: float) -> Column:
+    """The grams of which two sets of that similarity must share one: all but the ``least`` part, and one more."""
+    n = F.size(grams)
+    return F.slice(grams, F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)
+
+
+def similar_sets(a: DataFrame, a_key: str, b: DataFrame, b_key: str, least: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(a_key, b_key, similarity) of sets whose Jaccard similarity is ``least`` or more; ``carry`` are columns of b to keep.
+
+    Both sides have ``grams`` in one order, the rarest first (:func:`by_rarity`).
+    Only prefixes are joined: two sets of that similarity share a gram of their
+    prefixes, and frequent grams lie beyond them. Of the pairs that meet, those of
+    too different sizes go, and those whose grams behind the shared one cannot
+    make up the overlap; what is left is verified, once, at the first gram that
+    both have.
+    """
+
+    def met(df: DataFrame, key: str, names: tuple[str, str, str], more: tuple[str, ...] = ()) -> DataFrame:
+        whole, at, out = names
+        return df.select(F.col(key).alias(out), *more, F.col("grams").alias(whole), F.posexplode(prefix(F.col("grams"), least)).alias(at, "gram"))
+
+    left, right = met(a, a_key, ("ga", "pa", "__a")), met(b, b_key, ("gb", "pb", "__b"), carry)
+    na, nb = F.size("ga"), F.size("gb")
+    sizes = F.least(na, nb) >= F.greatest(na, nb) * least - 1e-9
+    room = 1 + F.least(na - F.col("pa"), nb - F.col("pb")) - 1 >= (na + nb) * (least / (1 + least)) - 1e-9
+    both = F.array_intersect("ga", "gb")
+    pairs = left.join(right, "gram").where(sizes & room).withColumn("both", both).where(F.col("both")[0] == F.col("gram"))
+    similarity = F.size("both") / (na + nb - F.size("both"))
+    return pairs.select(F.col("__a").alias(a_key), F.col("__b").alias(b_key), *carry, similarity.alias("similarity")).where(F.col("similarity") >= least)

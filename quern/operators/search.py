@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import fixed
-from quern.operators.joins import similar_terms
+from quern.operators.joins import by_rarity, gram_counts, similar_sets, similar_terms, trigrams
+from quern.sources import commits
 
 # Sizes of the search.
 MAX_WORDS, CANDIDATES, FUSION, LEAST_SIMILARITY = 12, 200, 60, 0.3
@@ -119,17 +120,40 @@ def vocabulary(docs: DataFrame, fields: list[str], least: int = 3, most: int = 4
     return terms.groupBy("term").agg(F.count("*").alias("docs"))
 
 
-def expand(words: list[str], vocab: DataFrame, spelling: int = 5, forms: int = 3, close: float = 0.5) -> DataFrame:
+def stored_terms(docs: DataFrame, fields: list[str], root: str, source: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(term, docs, grams) with the rarest trigrams first, and (gram, df): the current version at ``root``, made anew for another source."""
+    spark = docs.sparkSession
+    found = commits.current(spark, root)
+    if found is None or source is None or found.properties.get("source") != source:
+
+        def write(folder: str) -> None:
+            vocabulary(docs, fields).write.parquet(f"{folder}/vocabulary")
+            sets = spark.read.parquet(f"{folder}/vocabulary").withColumn("grams", trigrams(F.col("term")))
+            gram_counts(sets).coalesce(1).write.parquet(f"{folder}/grams")  # a few thousand rows, as many as trigrams there are
+            by_rarity(sets, "term", spark.read.parquet(f"{folder}/grams"), carry=("docs",)).write.parquet(f"{folder}/terms")
+
+        commits.commit(spark, root, write, {"source": source})
+    return commits.read(spark, root, "terms"), commits.read(spark, root, "grams")
+
+
+def expand(words: list[str], vocab: DataFrame, spelling: int = 5, forms: int = 3, close: float = 0.5, counts: DataFrame | None = None) -> DataFrame:
     """(word, term, similarity, docs, correction) of words worth expanding (H5, A.6).
 
     A known word gets up to ``forms`` terms with its first four letters; an
-    unknown one the nearest of ``spelling`` terms within its edits.
+    unknown one the nearest of ``spelling`` terms within its edits. With
+    ``counts``, ``vocab`` has its grams already (:func:`stored_terms`) and the
+    words meet it by their rarest grams.
     """
     spark = vocab.sparkSession
     asked = [w for w in words if len(w) >= 4 and w[0].isascii() and w[0].isalpha() and w not in STOP_WORDS]
     rows = spark.createDataFrame([(w, max_edits(w)) for w in asked], "word string, edits int")
     # the vocabulary is gone through once: a word that meets itself is known
-    near = similar_terms(rows, "word", vocab, "term", carry=("docs",), same=True).join(F.broadcast(rows), "word")
+    if counts is None:
+        near = similar_terms(rows, "word", vocab, "term", carry=("docs",), same=True)
+    else:
+        sets = by_rarity(rows.withColumn("grams", trigrams(F.col("word"))), "word", counts)
+        near = similar_sets(F.broadcast(sets), "word", vocab, "term", LEAST_SIMILARITY, carry=("docs",))
+    near = near.join(F.broadcast(rows), "word")
     near = near.withColumn("known", F.max(F.col("word") == F.col("term")).over(Window.partitionBy("word"))).where("word <> term")
     near = near.where(~F.col("known") | ((F.substring("word", 1, 4) == F.substring("term", 1, 4)) & (F.col("similarity") >= close)))
     order = Window.partitionBy("word").orderBy(F.desc("similarity"), F.desc("docs"), "term")

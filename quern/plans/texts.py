@@ -22,6 +22,12 @@ def vocab_docfreq(spark, sf_dir):
     return search.vocabulary(table(spark, sf_dir, "documents"), ["text"])
 
 
+def documents_terms(spark, sf_dir):
+    """The documents' terms with their trigrams, and the trigrams' counts: made when the table has changed, read otherwise."""
+    root = f"{commits.workspace(spark)}/terms-{crc32(sf_dir.encode()):08x}"
+    return search.stored_terms(table(spark, sf_dir, "documents"), ["text"], root, commits.signature(spark, f"{sf_dir}/documents.parquet"))
+
+
 ASKED = ("nation", "tionheed", "there", "wheather", "andd")
 SIMILAR = f"""
 v AS ({VOCAB}), w AS (SELECT unnest({list(ASKED)!r}) AS word),
@@ -50,9 +56,23 @@ SELECT word, term, similarity, docs, NOT known AS correction FROM (SELECT * FROM
 """
 )
 def typo_correct(spark, sf_dir):
-    """Other forms of known words, and the nearest term for unknown ones."""
-    vocab = search.vocabulary(table(spark, sf_dir, "documents"), ["text"])
-    return search.expand(list(ASKED), vocab).withColumn("similarity", F.round("similarity", 6))
+    """Other forms of known words, and the nearest term for unknown ones, by the stored terms."""
+    terms, counts = documents_terms(spark, sf_dir)
+    return search.expand(list(ASKED), terms, counts=counts).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    f"WITH v AS ({VOCAB}), b AS ({VOCAB.replace('FROM documents', 'FROM benchmark')}), vg AS (SELECT term, unnest({GRAMS.format('term')}) AS g FROM v), bg AS (SELECT term, unnest({GRAMS.format('term')}) AS g FROM b), "
+    "n AS (SELECT term, count(*) AS n FROM vg GROUP BY 1), m AS (SELECT term, count(*) AS n FROM bg GROUP BY 1), "
+    "k AS (SELECT bg.term AS word, vg.term, count(*) AS k FROM bg JOIN vg USING (g) WHERE bg.term <> vg.term GROUP BY ALL) "
+    "SELECT word, k.term, round(k / (m.n + n.n - k), 6) AS similarity FROM k JOIN m ON m.term = word JOIN n ON n.term = k.term WHERE k / (m.n + n.n - k) >= 0.5"
+)
+def benchmark_spellings(spark, sf_dir):
+    """All terms of the documents that are spelled like a term of the benchmark items: a join of sets by their rarest trigrams."""
+    terms, counts = documents_terms(spark, sf_dir)
+    words = search.vocabulary(table(spark, sf_dir, "benchmark"), ["text"]).select(F.col("term").alias("word"), joins.trigrams(F.col("term")).alias("grams"))
+    found = joins.similar_sets(joins.by_rarity(words, "word", counts), "word", terms, "term", 0.5)
+    return found.where("word <> term").withColumn("similarity", F.round("similarity", 6))
 
 
 Q = "nation there of erthre wheather"

@@ -4,6 +4,7 @@ import random
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import search, textindex
 from quern.sources import commits
@@ -116,3 +117,36 @@ def test_conflicts_and_half_written_pointers(spark, tmp_path):
 
 def test_workspace(spark):
     assert commits.workspace(spark)
+
+
+def test_similar_sets_equal_all_pairs(spark):
+    from quern.operators import joins
+
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choices("abcde", k=rng.randrange(1, 9))) for _ in range(250)} | {"aaaa", "aaaaa", "a"})
+    grams = {w: {("  " + w + " ")[i : i + 3] for i in range(len(w) + 1)} for w in words}
+    sets = spark.createDataFrame([(w,) for w in words], "w string").withColumn("grams", joins.trigrams(F.col("w")))
+    ordered = joins.by_rarity(sets, "w", joins.gram_counts(sets)).cache()
+    for least in (0.3, 0.5, 0.8, 1.0):
+        got = joins.similar_sets(ordered, "w", ordered.withColumnRenamed("w", "v"), "v", least).collect()
+        want = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in words for b in words}
+        assert {(r["w"], r["v"]): r["similarity"] for r in got} == {k: v for k, v in want.items() if v >= least} and len(got) == len({(r["w"], r["v"]) for r in got})
+    # no gram is joined beyond the prefix
+    cut = {r["w"]: r["p"] for r in ordered.select("w", joins.prefix(F.col("grams"), 0.5).alias("p")).collect()}
+    assert all(len(cut[w]) == len(grams[w]) - -(-len(grams[w]) // 2) + 1 for w in words)
+    df = {g: sum(g in s for s in grams.values()) for g in set().union(*grams.values())}
+    assert all(max(df[g] for g in p) <= min([df[g] for g in grams[w] - set(p)], default=10**9) for w, p in cut.items())
+
+
+def test_stored_terms_expand_like_the_vocabulary(spark, tmp_path):
+    docs = spark.createDataFrame([("nation nations national natoin",), ("weather whether nation",), (None,)], "t string")
+    root = str(tmp_path / "terms")
+    terms, counts = search.stored_terms(docs, ["t"], root, "s1")
+    words = ["nation", "wheather", "zzzz", "natoins"]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(search.expand(words, terms, counts=counts)) == rows(search.expand(words, search.vocabulary(docs, ["t"]))) != []
+    before = commits.current(spark, root)
+    search.stored_terms(docs, ["t"], root, "s1")
+    assert commits.current(spark, root) == before
+    search.stored_terms(docs, ["t"], root, "s2")
+    assert commits.current(spark, root).number == before.number + 1
