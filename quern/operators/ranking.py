@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.operators import prefix
 from quern.operators.versions import first_per_key
 
 
+#: Groups that quotas are shared out among; more are an error.
+MOST_GROUPS = 10_000
+
+
 def evidence_tier(strong: Column) -> Column:
     """0 for three strong signals or more, 1 for two, 2 otherwise."""
     return F.when(strong >= 3, 0).when(strong == 2, 1).otherwise(2)
@@ -39,7 +44,7 @@ def in_tiers(df: DataFrame, tiers: list[Column], seq: str) -> DataFrame:
 def round_robin(df: DataFrame, lane: str, order: list[Column], limit: int | None = None, name: str = "pick") -> DataFrame:
     """Rows taken in turn from lanes, larger lanes first, the best of a lane first.
 
-    ``pick`` numbers what was taken; the global window is over the limited rows.
+    ``pick`` numbers what was taken: by a window over the limited rows, by ranges where there is no limit.
     """
     place = F.row_number().over(Window.partitionBy(lane).orderBy(*order))
     sizes = df.groupBy(lane).agg(F.count("*").alias("__size"))
@@ -48,8 +53,9 @@ def round_robin(df: DataFrame, lane: str, order: list[Column], limit: int | None
         rows = rows.where(F.col("__place") <= limit)
     rows = rows.join(sizes, rows[lane].eqNullSafe(sizes[lane])).drop(sizes[lane])
     turn = [F.asc("__place"), F.desc("__size"), F.asc(lane)]
-    picked = rows.orderBy(*turn) if limit is None else rows.orderBy(*turn).limit(limit)
-    return picked.withColumn(name, F.row_number().over(Window.orderBy(*turn))).drop("__place", "__size")
+    if limit is None:
+        return prefix.numbered(rows, turn, name).drop("__place", "__size")
+    return rows.orderBy(*turn).limit(limit).withColumn(name, F.row_number().over(Window.orderBy(*turn))).drop("__place", "__size")
 
 
 def quotas(sizes: dict[str, int], total: int, least: int = 1) -> dict[str, int]:
@@ -76,7 +82,10 @@ def quotas(sizes: dict[str, int], total: int, least: int = 1) -> dict[str, int]:
 
 def quota_sample(df: DataFrame, group: str, order: list[Column], total: int, least: int = 1) -> DataFrame:
     """The first rows of each group, as many as its quota. Group sizes come from one small aggregate."""
-    sizes = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
+    counted = df.groupBy(group).count().limit(MOST_GROUPS + 1).collect()
+    if len(counted) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups in {group}: quotas are shared out on the driver")
+    sizes = {r[0]: r[1] for r in counted}
     share = quotas(sizes, total, least)
     most = F.create_map(*[F.lit(x) for kv in share.items() for x in kv]) if share else F.create_map().cast("map<string,int>")
     ranked = df.withColumn("__place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
@@ -93,10 +102,11 @@ def stratified(df: DataFrame, distinct: list[str], strata: list[str], row_id: st
 def capped_prefix(df: DataFrame, order: list[Column], cost: str, committed: float, cap: float, group: list[str] | None = None) -> DataFrame:
     """Rows accepted in order while what is committed and their running cost stay within the cap.
 
-    Costs are not negative, so the running sum never comes back under the cap.
+    Costs are whole numbers or decimals and not negative, so the running sum never
+    comes back under the cap. Neither a group nor the whole table is one task's.
     """
-    running = F.sum(cost).over(Window.partitionBy(*(group or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("running", running).withColumn("accepted", F.lit(committed) + F.col("running") <= cap)
+    rows = prefix.running(df, order, {"running": F.col(cost)}, group)
+    return rows.withColumn("accepted", F.lit(committed) + F.col("running") <= cap)
 
 
 def one_per_host(df: DataFrame, host: str, score: str, row_id: str, limit: int = 12) -> DataFrame:

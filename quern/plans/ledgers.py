@@ -137,6 +137,14 @@ def cost_cap_prefix(spark, sf_dir):
     return ranking.capped_prefix(rows, [F.asc(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")], "cost", 30, 100, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "accepted")
 
 
+@query("SELECT l_orderkey, l_linenumber, running, 500 + running <= 700000 AS accepted FROM (SELECT *, sum(CAST(l_quantity AS BIGINT)) OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM lineitem)")
+def cost_cap_all(spark, sf_dir):
+    """All lines in the order of shipping, accepted while their running quantity stays within a cap: no task sees the whole table."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("cost", F.col("l_quantity").cast("long"))
+    order = [F.asc(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    return ranking.capped_prefix(rows, order, "cost", 500, 700_000).select("l_orderkey", "l_linenumber", "running", "accepted")
+
+
 @query(
     "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 3), s AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 9) AS score FROM embeddings, q WHERE vec_id <> 3) "
     "SELECT vec_id, label, round(score, 6) AS score FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1) ORDER BY score DESC, vec_id LIMIT 12"

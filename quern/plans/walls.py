@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import functions as F
 
-from quern.operators import dedup, facets, joins, paging, versions
+from quern.operators import bitmaps, dedup, facets, joins, paging, versions
 from quern.plans.registry import query, table
+from quern.sources import commits
 
 WANTED = {"status": ["O", "F"], "segment": ["BUILDING", "MACHINERY"], "flag": ["R"]}
 WALL_SQL = """
@@ -59,6 +62,26 @@ def facet_counts_filtered(spark, sf_dir):
     return facets.facet_counts(wall(spark, sf_dir), wall_facets(), facets.Filters(WANTED))
 
 
+def wall_bitmaps(spark, sf_dir):
+    """The facets of all orders as bitmaps: made when a table has changed, read otherwise."""
+    root = f"{commits.workspace(spark)}/wall-{crc32(sf_dir.encode()):08x}"
+    source = " ".join(commits.signature(spark, f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation", "region", "lineitem"))
+    found = bitmaps.current(spark, root, source)
+    return found if found is not None else bitmaps.build(wall(spark, sf_dir), wall_facets(), root, source)
+
+
+@query(_facet_sql({}))
+def bitmap_counts_all(spark, sf_dir):
+    """The rows of facet_counts_all, from stored bitmaps."""
+    return bitmaps.counts(wall_bitmaps(spark, sf_dir), [*wall_facets()], facets.Filters())
+
+
+@query(_facet_sql(WANTED))
+def bitmap_counts_filtered(spark, sf_dir):
+    """The rows of facet_counts_filtered, near misses included, from stored bitmaps."""
+    return bitmaps.counts(wall_bitmaps(spark, sf_dir), [*wall_facets()], facets.Filters(WANTED))
+
+
 @query(WALL_SQL + " UNION ALL ".join(f"SELECT '{k}' AS key, count(*) AS n FROM ok WHERE NOT ok_{k} AND {' AND '.join(f'ok_{j}' for j in WANTED if j != k)} HAVING count(*) > 0" for k in WANTED))
 def near_miss_counts(spark, sf_dir):
     return facets.near_misses(facets.facet_counts(wall(spark, sf_dir), wall_facets(), facets.Filters(WANTED)))

@@ -32,14 +32,12 @@ def typed_seeds(seeds: DataFrame) -> DataFrame:
 
 def stores_export(seeds: DataFrame) -> DataFrame:
     """Stores in rank order with their number, host and display host."""
-    from pyspark.sql.window import Window
+    from quern.operators import prefix
 
     final = F.coalesce(F.col("final_host"), F.col("host"))
     shown = F.when(final.endswith(".myshopify.com"), F.col("host")).otherwise(final)
     order = [F.asc_nulls_last("tranco_rank"), F.asc("host")]
-    # seeds are a curated list of thousands at most, so one task may number them
-    rows = typed_seeds(seeds).withColumn("display_host", shown)
-    return rows.withColumn("n", F.row_number().over(Window.orderBy(*order)))
+    return prefix.numbered(typed_seeds(seeds).withColumn("display_host", shown), order)
 
 
 def read_hosts(spark: SparkSession, path: str) -> DataFrame:
