@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quern.sources import commits
+
 
 def queue_state(events: DataFrame, key: str, seq: str, kind: str, reason: str, max_attempts: int = 3) -> DataFrame:
     """Status, attempts and last reason of each queued item after its events in order (U8, T-7).
@@ -117,22 +119,11 @@ def union_distinct(frames: list[DataFrame]) -> DataFrame:
     return union_all(frames).distinct()
 
 
-def refresh_view(df: DataFrame, path: str) -> DataFrame:
-    """Recompute a stored table and swap it in (U9): readers see the old rows or the new ones, never part of either.
+def refresh_view(df: DataFrame, path: str, keep: int = 2) -> DataFrame:
+    """Recompute a stored table (U9): readers by :func:`commits.read` see the old rows or the new ones, at every moment.
 
-    The new rows are written beside the table and take its name by renaming;
-    the old ones are deleted last.
+    The new rows are a version of their own and a pointer written last makes
+    them the current one; versions beyond ``keep`` are deleted.
     """
-    spark = df.sparkSession
-    jvm = spark._jvm
-    new, old = (f"{path.rstrip('/')}-{name}-{jvm.java.util.UUID.randomUUID().toString()}" for name in ("new", "old"))
-    df.write.parquet(new)
-    at = jvm.org.apache.hadoop.fs.Path
-    files = at(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if files.exists(at(path)) and not files.rename(at(path), at(old)):
-        raise OSError(f"{path} cannot be moved aside")
-    if not files.rename(at(new), at(path)):
-        files.rename(at(old), at(path))
-        raise OSError(f"{new} cannot take the name {path}")
-    files.delete(at(old), True)
-    return spark.read.schema(df.schema).parquet(path)
+    commits.commit(df.sparkSession, path.rstrip("/"), lambda folder: df.write.parquet(folder), keep=keep)
+    return commits.read(df.sparkSession, path.rstrip("/"))

@@ -38,22 +38,24 @@ def workspace(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quern"
 
 
-def _at(spark: SparkSession, path: str):
+def path_of(spark: SparkSession, path: str):
     """The Hadoop path and its file system."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
-def _pointers(spark: SparkSession, root: str) -> list[int]:
-    at, fs = _at(spark, f"{root}/_commits")
+def numbers(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the pointers there are, the newest first."""
+    at, fs = path_of(spark, f"{root}/_commits")
     if not fs.exists(at):
         return []
     names = (s.getPath().getName() for s in fs.listStatus(at))
     return sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
 
 
-def _read(spark: SparkSession, root: str, number: int) -> Version | None:
-    at, fs = _at(spark, f"{root}/_commits/{number:020d}.json")
+def version(spark: SparkSession, root: str, number: int) -> Version | None:
+    """The version of a pointer; None if it is not whole."""
+    at, fs = path_of(spark, f"{root}/_commits/{number:020d}.json")
     try:
         stream = fs.open(at)
         try:
@@ -69,17 +71,17 @@ def _read(spark: SparkSession, root: str, number: int) -> Version | None:
 
 def current(spark: SparkSession, root: str) -> Version | None:
     """The newest whole version; None if there is none."""
-    return next((v for n in _pointers(spark, root) if (v := _read(spark, root, n))), None)
+    return next((v for n in numbers(spark, root) if (v := version(spark, root, n))), None)
 
 
 def point(spark: SparkSession, root: str, folder: str, properties: dict | None = None, after: Version | None = None) -> Version:
     """Commit: the pointer to ``folder`` follows ``after`` (the newest version, if not given)."""
     base = after or current(spark, root)
-    seen = max(_pointers(spark, root), default=-1)
-    if base and seen > base.number and _read(spark, root, seen):
+    seen = max(numbers(spark, root), default=-1)
+    if base and seen > base.number and version(spark, root, seen):
         raise Conflict(f"{root} has gone on to version {seen}")
     number = max(seen, base.number if base else -1) + 1
-    at, fs = _at(spark, f"{root}/_commits/{number:020d}.json")
+    at, fs = path_of(spark, f"{root}/_commits/{number:020d}.json")
     try:
         stream = fs.create(at, False)
     except Exception as e:
@@ -114,23 +116,22 @@ def read(spark: SparkSession, root: str, part: str = "") -> DataFrame:
 
 def prune(spark: SparkSession, root: str, keep: int = 2) -> None:
     """Delete all but the newest ``keep`` versions; readers of a version that old have to read again."""
-    numbers = _pointers(spark, root)
-    whole = [v for n in numbers if (v := _read(spark, root, n))]
+    whole = [v for n in numbers(spark, root) if (v := version(spark, root, n))]
     for v in whole[keep:]:
-        pointer, fs = _at(spark, f"{root}/_commits/{v.number:020d}.json")
+        pointer, fs = path_of(spark, f"{root}/_commits/{v.number:020d}.json")
         fs.delete(pointer, False)
         if v.folder not in {x.folder for x in whole[:keep]}:
             remove(spark, v.folder)
 
 
 def remove(spark: SparkSession, folder: str) -> None:
-    at, fs = _at(spark, folder)
+    at, fs = path_of(spark, folder)
     fs.delete(at, True)
 
 
 def signature(spark: SparkSession, path: str) -> str:
     """Files of a stored table with their sizes and times: another one after any change."""
-    at, fs = _at(spark, path)
+    at, fs = path_of(spark, path)
     found, files = [], fs.listFiles(at, True)
     while files.hasNext():
         s = files.next()

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quern.functions.text import base64url, host_line, suffixes, unbase64url
 
@@ -52,15 +57,34 @@ def read_host_reasons(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.lower(F.regexp_extract(line, r"^(\S+)\s*(.*)$", 1)).alias("host"), F.nullif(F.regexp_extract(line, r"^(\S+)\s*(.*)$", 2), F.lit("")).alias("reason"))
 
 
-def read_ranks(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
-    """``rank,host`` lines; a ZIP is unpacked once into ``folder``, which executors have to reach."""
-    if path.endswith(".zip"):
-        if folder is None:
-            raise ValueError("a ZIP needs a folder to unpack into, one that all executors reach")
-        with zipfile.ZipFile(path) as z:
-            name = next(n for n in z.namelist() if n.endswith(".csv"))
-            path = z.extract(name, folder)
-    return spark.read.schema("rank int, host string").csv(path)
+def read_ranks(spark: SparkSession, path: str) -> DataFrame:
+    """``rank,host`` lines of CSV files or of the CSV members of ZIP files.
+
+    A ZIP is read by the task that gets it, wherever Spark can read, and never
+    unpacked anywhere: its lines leave as they are inflated.
+    """
+    if not path.endswith(".zip"):
+        return spark.read.schema("rank int, host string").csv(path)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for name in sorted(n for n in z.namelist() if n.endswith(".csv")):
+                        with z.open(name) as member:
+                            while some := list(itertools.islice(member, 10_000)):
+                                yield pa.RecordBatch.from_arrays([pa.array([x.decode("utf-8", "replace").rstrip("\r\n") for x in some])], ["line"])
+
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "line string")
+    return raw.select(F.from_csv("line", "rank int, host string").alias("r")).select("r.*")
+
+
+def feed_items(pages: DataFrame, feed: str, number: str, items: str, full: int) -> DataFrame:
+    """(feed, number, place, item) of landed pages of feeds, numbered from 1: up to the first page that is short or missing."""
+    page = Window.partitionBy(feed).orderBy(number)
+    # a page counts while all before it are there and full
+    seen = pages.withColumn("__n", F.row_number().over(page)).withColumn("__short", F.coalesce(F.max((F.size(items) < full).cast("int")).over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return seen.where((F.col("__n") == F.col(number)) & (F.col("__short") == 0)).select(feed, number, F.posexplode(items).alias("place", "item"))
 
 
 def sitemap_urls(xml: DataFrame, column: str, pattern: str) -> DataFrame:
@@ -80,8 +104,6 @@ def outbound_links(pages: DataFrame, page_id: str, html: str, own: Column | None
 
 def page_links(pages: DataFrame, page_id: str, html: str, origin: Column, most: int) -> DataFrame:
     """Links within a site in document order, variants of one address once, the first ``most``."""
-    from pyspark.sql.window import Window
-
     found = F.regexp_extract_all(F.col(html), F.lit(r'href="([^"#]+)'), F.lit(1))
     rows = pages.select(page_id, origin.alias("origin"), F.posexplode(found).alias("seq", "href"))
     url = F.when(F.col("href").startswith("/"), F.concat("origin", "href")).otherwise(F.col("href"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern import schemas
 from quern.functions.text import clean, js_round
 from quern.operators.versions import first_per_key
+from quern.sources import commits
 
 
 def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -19,6 +20,30 @@ def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return raw.where(~bad).drop("_corrupt_record"), raw.where(bad).select("folder", "_corrupt_record")
 
 
+def parse_manifests(df: DataFrame, document: str) -> tuple[DataFrame, DataFrame]:
+    """Documents in a text column, and the rows whose text is no such document; other columns are kept."""
+    schema = schemas.struct(schemas.MANIFEST + ", _corrupt_record string")
+    rows = df.withColumn("__d", F.from_json(document, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    bad = F.col("__d._corrupt_record").isNotNull() | F.col("__d.site.host").isNull() | F.col("__d.page.url").isNull()
+    return rows.where(~bad).select(*[c for c in df.columns if c != document], *[f"__d.{c}" for c in ("site", "page", "viewports", "blocks")]), rows.where(F.coalesce(bad, F.lit(True))).drop("__d")
+
+
+def import_manifests(good: DataFrame, bad: DataFrame, root: str) -> commits.Version:
+    """All tables of an import and what it could not read, as one version: ``sites``, ``pages``, ``captures``, ``blocks``, ``quarantine``.
+
+    Readers see the tables of one import together; a bad document keeps none of
+    the others out, and waits in quarantine.
+    """
+    tables = {"sites": site_rows, "pages": page_rows, "captures": capture_rows, "blocks": block_rows}
+
+    def write(folder: str) -> None:
+        for name, rows in tables.items():
+            rows(good).write.parquet(f"{folder}/{name}")
+        bad.write.parquet(f"{folder}/quarantine")
+
+    return commits.commit(good.sparkSession, root, write)
+
+
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """Image facts beside the manifests (S3); folders without them simply have no row."""
     rows = spark.read.schema(schemas.SIDECAR).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "images.json").json(path)

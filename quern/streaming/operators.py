@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from quern.operators.state import apply_event
+from quern.sources import upserts
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -113,20 +114,14 @@ def subscription_outcomes(events: DataFrame, plans: dict[str, str]) -> DataFrame
 
 
 def upsert_latest(events: DataFrame, keys: list[str], at: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the newest row of each key in a table (T-13, U7), batch by batch.
+    """Keeps the newest row of each key in a table (T-13, U7), batch by batch; :func:`upserts.read` reads it.
 
-    A batch writes the next version of the table beside the old one; the batch
-    number names it, so a batch that runs again writes the same version.
+    A batch writes to the buckets it touches. Its number is committed with its
+    rows, so a batch that runs again changes nothing.
     """
-    spark = events.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        from quern.operators.versions import first_per_key
-
-        rows = batch
-        if number > 0:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}"))
-        first_per_key(rows, keys, [F.desc(at)]).write.mode("overwrite").parquet(f"{path}/v{number}")
+        upserts.upsert(path, batch, keys, at, number)
 
     return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
 
