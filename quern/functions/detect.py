@@ -19,41 +19,30 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
 def platform(html: Column) -> Column:
     """Shop or site platform, first match wins; null if none shows."""
     low = F.lower(html)
-    has = low.contains
-    rules = [
-        (has("cdn.shopify.com") | has("shopify.theme") | has("myshopify.com"), F.lit("shopify")),
-        (has("woocommerce"), F.lit("woocommerce")),
-        (has("bigcommerce"), F.lit("bigcommerce")),
-        (has("demandware") | has("salesforce-commerce"), F.lit("salesforce")),
-        ((has("/static/version") & has("mage/")) | has("magento"), F.lit("magento")),
-        (has("prestashop"), F.lit("prestashop")),
-        (has("shopware"), F.lit("shopware")),
-        (has("squarespace"), F.when(has("sqs-cart") | has("products/"), "squarespace-commerce").otherwise("squarespace")),
-        (has("wixstatic.com") | has("parastorage.com"), F.when(has("wixstores") | has("wix-stores"), "wix-stores").otherwise("wix")),
-        (has("data-wf-site") | has("webflow"), F.lit("webflow")),
-        (has("framerusercontent.com"), F.lit("framer")),
-        (has("/_next/"), F.lit("nextjs")),
-        (has("__nuxt"), F.lit("nuxt")),
-        (has("/wp-content/"), F.lit("wordpress")),
-    ]
-    return F.coalesce(*[F.when(c, v) for c, v in rules])
+    all_of = lambda marks: reduce(lambda a, b: a & b, map(low.contains, marks))
+    any_of_ = lambda tests: reduce(lambda a, b: a | b, tests)
+    found = []
+    for groups, name, second in fixed.PLATFORM_MARKS:
+        named_ = F.when(any_of_(map(low.contains, second[1:])), F.lit(second[0])).otherwise(F.lit(name)) if second else F.lit(name)
+        found.append(F.when(any_of_(map(all_of, groups)), named_))
+    return F.coalesce(*found)
 
 
 def fingerprint(html: Column) -> Column:
     """platform, builder, theme, theme_version, currency, country and locale as one struct."""
     low, kind = F.lower(html), platform(html)
     hosted, press = kind == "shopify", kind.isin("wordpress", "woocommerce")
-    theme = _found(html, r"Shopify\.theme\s*=\s*(\{[^;]*\})\s*;")
-    named = F.coalesce(_found(theme, r'"schema_name"\s*:\s*"([^"]+)"'), _found(theme, r'"name"\s*:\s*"([^"]+)"'))
+    theme = _found(html, fixed.THEME_OBJECT)
     builders = F.coalesce(*[F.when(low.contains(mark), F.lit(name)) for mark, name in fixed.BUILDER_MARKS])
+    own = lambda patterns: F.coalesce(F.when(hosted, _found(html, patterns[0])), _found(html, patterns[1]))
     return F.struct(
         kind.alias("platform"),
         F.when(hosted, builders).when(press & low.contains("elementor"), F.lit("elementor")).alias("builder"),
-        F.when(hosted, named).when(press, _found(low, r"/wp-content/themes/([a-z0-9_-]+)/")).alias("theme"),
-        F.when(hosted, _found(theme, r'"schema_version"\s*:\s*"([^"]+)"')).alias("theme_version"),
-        F.coalesce(F.when(hosted, _found(html, r'Shopify\.currency\s*=\s*\{"active":"([A-Z]{3})"')), _found(html, r'"priceCurrency"\s*:\s*"([A-Z]{3})"')).alias("currency"),
-        F.when(hosted, _found(html, r'Shopify\.country\s*=\s*"([A-Z]{2})"')).alias("country"),
-        F.coalesce(F.when(hosted, _found(html, r'Shopify\.locale\s*=\s*"([a-z]{2}(?:-[A-Za-z]{2})?)"')), _found(html, r'<html[^>]*\slang="([a-zA-Z]{2}(?:-[a-zA-Z]{2})?)"')).alias("locale"),
+        F.when(hosted, F.coalesce(*[_found(theme, p) for p in fixed.THEME_NAMES])).when(press, _found(low, fixed.THEME_FOLDER)).alias("theme"),
+        F.when(hosted, _found(theme, fixed.THEME_VERSION)).alias("theme_version"),
+        own(fixed.CURRENCIES).alias("currency"),
+        F.when(hosted, _found(html, fixed.COUNTRY)).alias("country"),
+        own(fixed.LOCALES).alias("locale"),
     )
 
 

@@ -226,6 +226,33 @@ KIND_ALIASES = {
     "store-locator": (("stockists",),),
 }
 
+# What a page's platform shows by, first one wins. An entry holds if all marks of one of its
+# groups show; where one of the marks at its end shows as well, the platform has the second name.
+PLATFORM_MARKS = (
+    ((("cdn.shopify.com",), ("shopify.theme",), ("myshopify.com",)), "shopify", ()),
+    ((("woocommerce",),), "woocommerce", ()),
+    ((("bigcommerce",),), "bigcommerce", ()),
+    ((("demandware",), ("salesforce-commerce",)), "salesforce", ()),
+    ((("/static/version", "mage/"), ("magento",)), "magento", ()),
+    ((("prestashop",),), "prestashop", ()),
+    ((("shopware",),), "shopware", ()),
+    ((("squarespace",),), "squarespace", ("squarespace-commerce", "sqs-cart", "products/")),
+    ((("wixstatic.com",), ("parastorage.com",)), "wix", ("wix-stores", "wixstores", "wix-stores")),
+    ((("data-wf-site",), ("webflow",)), "webflow", ()),
+    ((("framerusercontent.com",),), "framer", ()),
+    ((("/_next/",),), "nextjs", ()),
+    ((("__nuxt",),), "nuxt", ()),
+    ((("/wp-content/",),), "wordpress", ()),
+)
+# Patterns of a page's theme, currency, country and locale.
+THEME_OBJECT = r"Shopify\.theme\s*=\s*(\{[^;]*\})\s*;"
+THEME_NAMES = (r'"schema_name"\s*:\s*"([^"]+)"', r'"name"\s*:\s*"([^"]+)"')
+THEME_VERSION = r'"schema_version"\s*:\s*"([^"]+)"'
+THEME_FOLDER = r"/wp-content/themes/([a-z0-9_-]+)/"
+CURRENCIES = (r'Shopify\.currency\s*=\s*\{"active":"([A-Z]{3})"', r'"priceCurrency"\s*:\s*"([A-Z]{3})"')
+COUNTRY = r'Shopify\.country\s*=\s*"([A-Z]{2})"'
+LOCALES = (r'Shopify\.locale\s*=\s*"([a-z]{2}(?:-[A-Za-z]{2})?)"', r'<html[^>]*\slang="([a-zA-Z]{2}(?:-[a-zA-Z]{2})?)"')
+
 # What a quick look at a page goes by, first platform wins; all marks of one entry must show.
 PROBE_PLATFORMS = (
     (("cdn.shopify.com",), "shopify"), (("shopify.theme",), "shopify"), (("woocommerce",), "woocommerce"), (("/wp-content/",), "wordpress"), (("bigcommerce.com",), "bigcommerce"), (("data-wf-site",), "webflow"),

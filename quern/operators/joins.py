@@ -24,6 +24,11 @@ def star(facts: DataFrame, *dims: tuple[DataFrame, str, str]) -> DataFrame:
     return facts
 
 
+def lookup(facts: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFrame:
+    """Facts with what one dimension knows of them, every fact kept."""
+    return facts.join(dim.withColumnRenamed(dim_key, key) if dim_key != key else dim, key, "left")
+
+
 def known(df: DataFrame, other: DataFrame, key: str, name: str = "known") -> DataFrame:
     """Whether each row's key is in another table (J4): a left join with its distinct keys."""
     keys = other.select(key).distinct().withColumn("__hit", F.lit(True))

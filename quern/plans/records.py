@@ -68,7 +68,7 @@ def batch_totals(spark, sf_dir):
 HISTORY_SQL = """
 WITH m AS (SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END, abs(l_linenumber - 3), abs(l_quantity - 20), l_linenumber) = 1),
 d AS (SELECT l_orderkey, count(*) AS changed FROM lineitem WHERE l_quantity > 25 GROUP BY 1)
-SELECT o_orderkey, o_orderdate, m.l_linenumber, d.changed FROM orders LEFT JOIN m ON m.l_orderkey = o_orderkey AND l_returnflag = 'R' LEFT JOIN d ON d.l_orderkey = o_orderkey WHERE o_custkey < 50
+SELECT o_orderkey, o_orderdate, m.l_linenumber, d.changed FROM orders LEFT JOIN m ON m.l_orderkey = o_orderkey AND l_returnflag = 'R' LEFT JOIN d ON d.l_orderkey = o_orderkey
 """
 
 
@@ -78,7 +78,7 @@ def version_history(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     best = versions.history_match(lines, {"l_returnflag": "R", "l_linenumber": 3, "l_quantity": 20}, "o_orderkey", "l_returnflag", "l_linenumber", "l_quantity")
     changes = lines.where("l_quantity > 25").groupBy("o_orderkey").agg(F.count("*").alias("changed"))
-    captures = table(spark, sf_dir, "orders").where("o_custkey < 50").select("o_orderkey", "o_orderdate")
+    captures = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     return versions.history(captures, best.select("o_orderkey", "l_linenumber", "l_returnflag"), changes, "o_orderkey", "o_orderdate", "l_returnflag", "R").select("o_orderkey", "o_orderdate", "l_linenumber", "changed")
 
 
