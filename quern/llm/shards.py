@@ -33,6 +33,13 @@ from quern.llm.common import written
 
 #: Hash digits by which segments are told apart, and cells that number the rows of a shard.
 DIGITS, CELLS = 3, 512
+#: Rows of a cell that slots are counted in, about, and the most cells of a shard: their sums are all the driver gets.
+CELL_ROWS, MOST_CELLS = 1_000_000, 1 << 16
+
+
+def cells_for(rows: int, shards: int) -> int:
+    """Cells of a shard: they grow with the rows, so that none of them does."""
+    return min(MOST_CELLS, max(CELLS, -(-rows // (shards * CELL_ROWS))))
 
 
 @dataclass(frozen=True)
@@ -127,9 +134,10 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
         F.coalesce(F.crc32(body), F.lit(0).cast("long")).alias("text_crc32"),
         key.alias("__key"),
     ).withColumn("shard", number)
-    rows = rows.withColumn("__cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(CELLS)).cast("int")).drop("__key")
-    rows = written(rows, "shards-rows")
-    # a slot is the place within a cell after all cells before it: shards x cells sums, whatever the input
+    rows = written(rows.drop("__key"), "shards-rows")
+    cells = cells_for(rows.count(), shards)
+    rows = rows.withColumn("__cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(cells)).cast("int"))
+    # a slot is the place within a cell after all cells before it: shards x cells sums
     sums = {(r[0], r[1]): r[2] for r in rows.groupBy("shard", "__cell").count().collect()}
     before, held = {}, {}
     for (s, c), n in sorted(sums.items()):

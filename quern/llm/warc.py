@@ -11,7 +11,7 @@ Of records with equal payloads of ``least`` bytes or more, the one with the
 smallest page_id is a response and the others are revisits that name it.
 
 A record's id follows from its page id and payload digest, so a second run
-writes the same records; a revisit names the id of the response it repeats.
+writes the same records, and the index names it beside the page id; a revisit names the id of the response it repeats.
 
 Which payloads are equal is found on page ids and digests alone, and only the
 digests that come more than once are joined to the pages: by broadcast up to
@@ -51,7 +51,7 @@ FRAME, BUNDLE = 1 << 18, 64 << 20
 #: Fixed values of the Zstandard seekable format: skippable frame, footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"
-INDEX = "page_id long, bundle string, frame int, at int, size int, record_type string"
+INDEX = "record_id string, page_id long, bundle string, frame int, at int, size int, record_type string"
 #: A join side is broadcast only if it has at most so many rows; bytes of records that one reading task takes, about.
 BROADCAST_ROWS, PER_TASK = 200_000, 32 << 20
 
@@ -147,9 +147,9 @@ def write_bundles(pages: DataFrame, folder: str | None = None, page_id: str = "p
         bundle, parts, held, index = None, [], 0, []
 
         def told() -> pa.RecordBatch:
-            out = [pa.array(x, t) for x, t in zip(zip(*index, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)]
+            out = [pa.array(x, t) for x, t in zip(zip(*index, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)]
             index.clear()
-            return pa.RecordBatch.from_arrays(out, ["page_id", "bundle", "frame", "at", "size", "record_type"])
+            return pa.RecordBatch.from_arrays(out, ["record_id", "page_id", "bundle", "frame", "at", "size", "record_type"])
 
         for batch in batches:
             for key, link, payload, digest, refers in zip(*batch.columns, strict=True):
@@ -158,7 +158,7 @@ def write_bundles(pages: DataFrame, folder: str | None = None, page_id: str = "p
                     bundle = _Bundle(path, fs)
                 refers = refers.as_py()
                 raw = record(key.as_py(), link.as_py(), payload.as_py(), digest.as_py(), refers)
-                index.append((key.as_py(), bundle.name, len(bundle.frames), held, len(raw), "response" if refers is None else "revisit"))
+                index.append((record_id(key.as_py(), digest.as_py()), key.as_py(), bundle.name, len(bundle.frames), held, len(raw), "response" if refers is None else "revisit"))
                 parts.append(raw)
                 held += len(raw)
                 if held >= FRAME:
