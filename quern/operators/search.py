@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import fixed
+from quern.functions.stems import stem, stems
 from quern.operators.joins import by_rarity, gram_counts, similar_sets, similar_terms, trigrams
 from quern.sources import commits
 
@@ -121,7 +122,7 @@ def vocabulary(docs: DataFrame, fields: list[str], least: int = 3, most: int = 4
 
 
 def stored_terms(docs: DataFrame, fields: list[str], root: str, source: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(term, docs, grams) with the rarest trigrams first, and (gram, df): the current version at ``root``, made anew for another source."""
+    """(term, docs, grams, stem) with the rarest trigrams first, and (gram, df): the current version at ``root``, made anew for another source."""
     spark = docs.sparkSession
     found = commits.current(spark, root)
     if found is None or source is None or found.properties.get("source") != source:
@@ -130,12 +131,24 @@ def stored_terms(docs: DataFrame, fields: list[str], root: str, source: str | No
             vocabulary(docs, fields).write.parquet(f"{folder}/vocabulary")
             sets = spark.read.parquet(f"{folder}/vocabulary").withColumn("grams", trigrams(F.col("term")))
             gram_counts(sets).coalesce(1).write.parquet(f"{folder}/grams")  # a few thousand rows, as many as trigrams there are
-            by_rarity(sets, "term", spark.read.parquet(f"{folder}/grams"), carry=("docs",)).write.parquet(f"{folder}/terms")
+            by_rarity(sets, "term", spark.read.parquet(f"{folder}/grams"), carry=("docs",)).withColumn("stem", stems(F.col("term"))).write.parquet(f"{folder}/terms")
 
         commits.commit(spark, root, write, {"source": source})
     return commits.read(spark, root, "terms"), commits.read(spark, root, "grams")
 
 
+def inflected(groups: list[Group], terms: DataFrame) -> list[Group]:
+    """The groups with all known terms of the same stem as one of their words: inflected forms match, phrases stay as they are.
+
+    ``terms`` has (term, stem); only the forms of the query's words leave it.
+    """
+    wanted = {stem(t.lower()) for g in groups for t in g.terms if re.fullmatch(r"[a-z]+(?:'[a-z]+)?", t.lower())}
+    forms: dict[str, list[str]] = {}
+    for r in terms.where(F.col("stem").isin(sorted(wanted))).select("term", "stem").orderBy("term").collect() if wanted else []:
+        forms.setdefault(r["stem"], []).append(r["term"])
+    return [replace(g, terms=tuple(dict.fromkeys([*g.terms, *(f for t in g.terms for f in forms.get(stem(t.lower()), []))]))) for g in groups]
+
+
 def expand(words: list[str], vocab: DataFrame, spelling: int = 5, forms: int = 3, close: float = 0.5, counts: DataFrame | None = None) -> DataFrame:
     """(word, term, similarity, docs, correction) of words worth expanding (H5, A.6).
 

@@ -141,6 +141,14 @@ def index_field_rank(spark, sf_dir):
     return found.withColumnRenamed("doc", "doc_id")
 
 
+@query()
+def index_stemmed_topk(spark, sf_dir):
+    """The best documents for a query's words in any inflected form, from the stored index and terms."""
+    terms, _ = documents_terms(spark, sf_dir)
+    groups = search.inflected(search.read_query(Q, use_intents=False), terms)
+    return textindex.top(documents_index(spark, sf_dir).only("C"), groups).withColumnRenamed("doc", "doc_id")
+
+
 PHRASES = ("the the", "of the", "in the nation", "the the the")
 
 

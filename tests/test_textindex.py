@@ -150,3 +150,32 @@ def test_stored_terms_expand_like_the_vocabulary(spark, tmp_path):
     assert commits.current(spark, root) == before
     search.stored_terms(docs, ["t"], root, "s2")
     assert commits.current(spark, root).number == before.number + 1
+
+
+# The published sample of words with their Porter2 stems.
+STEMS = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist consistently consist
+consisting consist consists consist consolation consol consolations consol consolatory consolatori console consol consoled consol consoles consol consolidate consolid consolidated consolid
+consolidating consolid consoling consol consolingly consol consols consol consonant conson consort consort consorted consort consorting consort conspicuous conspicu conspicuously conspicu
+conspiracy conspiraci conspirator conspir conspirators conspir conspire conspir conspired conspir conspiring conspir constable constabl constables constabl constance constanc constancy constanc
+constant constant knack knack knackeries knackeri knacks knack knag knag knave knave knaves knave knavish knavish kneaded knead kneading knead knee knee kneel kneel kneeled kneel kneeling kneel
+kneels kneel knees knee knell knell knelt knelt knew knew knick knick knif knif knife knife knight knight knightly knight knights knight knit knit knits knit knitted knit knitting knit knives knive
+knob knob knobs knob knock knock knocked knock knocker knocker knockers knocker knocking knock knocks knock knopp knopp knot knot knots knot"""
+
+
+def test_stems_of_the_published_sample():
+    from quern.functions.stems import stem
+
+    words = STEMS.split()
+    assert {w: stem(w) for w in words[::2]} == dict(zip(words[::2], words[1::2], strict=True))
+    more = {"generously": "generous", "ties": "tie", "cries": "cri", "gas": "gas", "hopping": "hop", "hoping": "hope", "skies": "sky", "succeeding": "succeed", "agreed": "agre", "youth": "youth", "dog's": "dog", "analogies": "analog", "nationalization": "nation", "by": "by", "sky": "sky", "possibly": "possibl"}
+    assert {w: stem(w) for w in more} == more
+
+
+def test_inflected_forms_are_found(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the nation"), (2, "national nations"), (3, "notion"), (4, "connected"), (5, None)], "id long, t string")
+    terms, _ = search.stored_terms(docs, ["t"], str(tmp_path / "terms"))
+    groups = search.inflected([search.Group(("nations",)), search.Group(("connecting", "the nation"))], terms)
+    assert [g.terms for g in groups] == [("nations", "nation", "national"), ("connecting", "the nation", "connected")]
+    index = textindex.build(docs, "id", {"C": "t"}, str(tmp_path / "index"))
+    assert [r["doc"] for r in textindex.top(index, groups[:1]).orderBy("rank").collect()] == [2, 1]
+    assert {r["doc"] for r in textindex.top(index, groups).collect()} == {1, 2, 4}
