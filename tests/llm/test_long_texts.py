@@ -63,3 +63,29 @@ def test_chat(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: (r["n_turns"], r["loss_chars"], r["loss_sha256"]) for r in chat.digest(chat.packs(df)).collect()}
     assert got == {1: (2, len(LONG) + 1, brute.sha(LONG + "!")), 2: (2, 10, brute.sha("<|im_end|>"))}
+
+
+def test_licenses(spark):
+    from quern.llm import licenses
+
+    name, wording = licenses.NOTICES[0]
+    lines = LONG.replace(" of7", "\n")
+    rows = [(1, "a/x.py", f"{lines}\n{wording}\n{lines}"), (2, "a/y.py", lines), (3, "a/LICENSE", f"{dict(licenses.texts())[licenses.texts()[0][0]]}"), (4, "b/LICENSE", LONG)]
+    got = {r["doc_id"]: (r["license"], r["via"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    whole = licenses.texts()[0][0]
+    assert got == {1: (name, "header"), 2: (whole, "inherited"), 3: (whole, "file"), 4: (None, None)}
+
+
+def test_every_stage_of_the_pipeline(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    block = "a block of more than eight words that both of the documents hold"
+    rows = [(1, f"{LONG}\n{block}"), (2, f"{LONG[: len(LONG) // 2]}\n{block}"), (3, f"short own text\n{block}"), (4, LONG), (5, "9 " * 500_000)]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {}
+    for name, stage in pipeline.STAGES:
+        df = stage(spark, df, sf_dir).cache()
+        kept[name] = sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    # 4 is a copy of 1 but for the block, which stays with 1: its only line goes as a block that 1 holds
+    assert kept["language_id"] == kept["line_dedup"] == [1, 2, 3, 4] and kept["near_dedup"] == kept["decontamination"] == kept["tokens"] == [1, 2, 3, 4]
+    assert df.where("doc_id = 1").first()["n_tokens"] > 500_000 and df.where("doc_id = 4").first()["n_tokens"] == 0
