@@ -9,7 +9,8 @@ triangle bound of radius 0. Within such a shard a vantage-point tree over the
 whole fingerprint splits by Hamming distance to a vantage point, and two sides
 are only compared where their distances to it differ by ``radius`` or less.
 Shards with more than ``chunk`` members are cut into chunks, and each pair of
-chunks is a task of its own.
+chunks is a task of its own. The tree itself (``link``) works on any metric; the
+pipeline's near-duplicates use it on sets of shingles.
 
 A shard gives a spanning forest of its links, never all its pairs; components
 come from these by alternating large-star and small-star rounds.
@@ -91,50 +92,87 @@ class _Forest:
                 self.edges.append((a, b))
 
 
-def _brute(fp: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, forest: _Forest, same: bool) -> None:
+class Bits:
+    """Fingerprints at the distance of their differing bits."""
+
+    def __init__(self, fp: np.ndarray):
+        self.fp = fp
+
+    def to(self, a: np.ndarray, vantage: int) -> np.ndarray:
+        """Distance of each member of ``a`` to one member."""
+        return np.bitwise_count(self.fp[a] ^ self.fp[vantage]).astype(np.int16)
+
+    def near(self, a: np.ndarray, b: np.ndarray, radius: float) -> np.ndarray:
+        """Whether each member of ``a`` (rows) is within the radius of each of ``b`` (columns)."""
+        return np.bitwise_count(self.fp[a][:, None] ^ self.fp[b][None, :]) <= radius
+
+
+def _brute(space, a: np.ndarray, b: np.ndarray, radius: float, forest: _Forest, same: bool) -> None:
     forest.compared += len(a) * (len(a) - 1) // 2 if same else len(a) * len(b)
-    near = np.bitwise_count(fp[a][:, None] ^ fp[b][None, :]) <= radius
+    near = space.near(a, b, radius)
     i, j = np.nonzero(np.triu(near, 1) if same else near)
     forest.join(zip(a[i].tolist(), b[j].tolist(), strict=True))
 
 
-def link_within(fp: np.ndarray, a: np.ndarray, radius: int, forest: _Forest) -> None:
-    """Links among ``fp[a]`` by a vantage-point tree."""
-    todo = [(a, None)]
+def link(space, a: np.ndarray, b: np.ndarray | None, radius: float, forest: _Forest) -> None:
+    """Links among the members ``a`` of a metric space, or between ``a`` and ``b``, by a vantage-point tree.
+
+    ``space`` has ``to`` and ``near`` as :class:`Bits`; its distance must keep the triangle inequality.
+    """
+    todo = [(a, b)]
     while todo:
         a, b = todo.pop()
         if not len(a) or b is not None and not len(b):
             continue
         if len(a) <= LEAF and (b is None or len(b) <= LEAF):
-            _brute(fp, a, a if b is None else b, radius, forest, b is None)
+            _brute(space, a, a if b is None else b, radius, forest, b is None)
             continue
-        vantage = fp[(a if b is None or len(a) >= len(b) else b)[0]]
+        vantage = int((a if b is None or len(a) >= len(b) else b)[0])
         forest.compared += len(a) + (0 if b is None else len(b))
-        da = np.bitwise_count(fp[a] ^ vantage).astype(np.int16)
-        db = None if b is None else np.bitwise_count(fp[b] ^ vantage).astype(np.int16)
-        mu = int(np.median(da if db is None else np.concatenate([da, db])))
-        if db is None:
-            inner, outer = da <= mu, da > mu
-            if inner.all():  # all within the median: a ring of equal distances, or nearly
-                for at in range(0, len(a), LEAF):
-                    _brute(fp, a[at : at + LEAF], a[at : at + LEAF], radius, forest, True)
-                    for more in range(at + LEAF, len(a), 1024):
-                        _brute(fp, a[at : at + LEAF], a[more : more + 1024], radius, forest, False)
+        da = space.to(a, vantage)
+        if b is None:
+            # what is within the radius is linked to the vantage point and needs no comparison with each other
+            within = da <= radius
+            ball, inside, a, da = a[within], da[within], a[~within], da[~within]
+            forest.join((vantage, x) for x in ball.tolist())
+            if not len(a):
                 continue
-            # triangle bound: only what is within the radius of the boundary can link across it
-            todo += [(a[inner], None), (a[outer], None), (a[inner & (da > mu - radius)], a[outer & (da <= mu + radius)])]
+            mu = np.median(da)
+            if mu == da.max():  # half of them or more are farthest
+                nearer = da[da < mu]
+                if not len(nearer):  # a ring of equal distances
+                    for at in range(0, len(a), LEAF):
+                        _brute(space, a[at : at + LEAF], a[at : at + LEAF], radius, forest, True)
+                        for more in range(at + LEAF, len(a), 1024):
+                            _brute(space, a[at : at + LEAF], a[more : more + 1024], radius, forest, False)
+                else:
+                    mu = nearer.max()
+            inner, outer = da <= mu, da > mu
+            if outer.any():
+                # triangle bound: only what is within the radius of the boundary can link across it
+                todo += [(a[inner], None), (a[outer], None), (a[inner & (da > mu - radius)], a[outer & (da <= mu + radius)])]
+            rim = (inside >= da.min() - radius) & (ball != vantage)
+            todo.append((ball[rim], a[da <= inside.max() + radius]))
         else:
+            db = space.to(b, vantage)
             lo, hi = max(da.min(), db.min() - radius), min(da.max(), db.max() + radius)
             a, da = a[(da >= lo) & (da <= hi)], da[(da >= lo) & (da <= hi)]
             if not len(a):
                 continue
             b, db = (keep := (db >= da.min() - radius) & (db <= da.max() + radius)) is not None and b[keep], db[keep]
+            if len(a) > len(b):
+                a, da, b, db = b, db, a, da
             # rings around the vantage point: each ring of a meets those rings of b within the radius
             for d in np.unique(da):
                 ring, other = a[da == d], b[np.abs(db - d) <= radius]
                 for at in range(0, len(ring), 1024):
                     for more in range(0, len(other), 1024):
-                        _brute(fp, ring[at : at + 1024], other[more : more + 1024], radius, forest, False)
+                        _brute(space, ring[at : at + 1024], other[more : more + 1024], radius, forest, False)
+
+
+def link_within(fp: np.ndarray, a: np.ndarray, radius: int, forest: _Forest) -> None:
+    """Links among ``fp[a]`` by a vantage-point tree."""
+    link(Bits(fp), a, None, radius, forest)
 
 
 def _shards(radius: int) -> list[tuple[int, int]]:
