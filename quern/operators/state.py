@@ -15,10 +15,12 @@ def window_start(ts: Column, seconds: int) -> Column:
     return F.timestamp_seconds(at - F.pmod(at, F.lit(seconds)))
 
 
-def rate_limit(events: DataFrame, key: str, ts: str, seq: str, seconds: int, most: int) -> DataFrame:
-    """Verdict on each hit (T-1): refused when the window's counter exceeds ``most``; refused hits count too."""
-    start = window_start(F.col(ts), seconds)
-    rows = events.withColumn("window_start", start)
+def rate_limit(events: DataFrame, key: str, ts: str, seq: str, seconds: int, most: int, start: Column | None = None) -> DataFrame:
+    """Verdict on each hit (T-1): refused when the window's counter exceeds ``most``; refused hits count too.
+
+    ``start`` is the start of a hit's window, that of :func:`window_start` if not given.
+    """
+    rows = events.withColumn("window_start", window_start(F.col(ts), seconds) if start is None else start)
     hits = F.row_number().over(Window.partitionBy(key, "window_start").orderBy(seq))
     rows = rows.withColumn("hits", hits).withColumn("allowed", F.col("hits") <= most)
     left = F.unix_seconds("window_start") + seconds - F.unix_seconds(F.col(ts).cast("timestamp"))
