@@ -57,10 +57,14 @@ def first_alternative(df: DataFrame, row: str, other: DataFrame, keys: list[tupl
     """The other row that one of several keys leads to, earlier keys first.
 
     One equi-join per key and a choice by priority, not a join on a disjunction.
+    Of the other rows with one key only the first can be chosen, so only that
+    one is joined: a key of many rows on both sides never becomes all its pairs.
     """
     parts = None
     for n, (a, b) in enumerate(keys):
-        hit = df.where(F.col(a).isNotNull()).select(F.col(row), F.col(a).alias("__k")).join(other.withColumn("__k", F.col(b)), "__k").drop("__k").withColumn("__p", F.lit(n))
+        whole = F.struct(*[F.col(c) for c in other.columns])
+        firsts = other.where(F.col(b).isNotNull()).groupBy(F.col(b).alias("__k")).agg(F.min_by(whole, F.struct(tie)).alias("__o")).select("__k", "__o.*")
+        hit = df.where(F.col(a).isNotNull()).select(F.col(row), F.col(a).alias("__k")).join(firsts, "__k").drop("__k").withColumn("__p", F.lit(n))
         parts = hit if parts is None else parts.unionByName(hit)
     return first_per_key(parts, [row], [F.asc("__p"), F.asc(tie)]).drop("__p")
 
