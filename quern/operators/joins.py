@@ -129,8 +129,11 @@ def gram_counts(sets: DataFrame, grams: str = "grams") -> DataFrame:
 
 
 def by_rarity(sets: DataFrame, key: str, counts: DataFrame, grams: str = "grams", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, carry, grams): each set, one row a key, with its grams from the rarest on; those not counted come first."""
-    each = sets.select(key, *carry, F.explode(grams).alias("gram")).join(counts, "gram", "left")
+    """(key, carry, grams): each set, one row a key, with its grams from the rarest on; those not counted come first.
+
+    The sets are dealt out by their key first, so where the counts are small no gram is shuffled.
+    """
+    each = sets.repartition(key).select(key, *carry, F.explode(grams).alias("gram")).join(small(counts), "gram", "left")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0).cast("long")).alias("df"), "gram"))), lambda x: x["gram"])
     return each.groupBy(key, *carry).agg(ordered.alias("grams"))
 
