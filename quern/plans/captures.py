@@ -24,8 +24,8 @@ b AS (SELECT c.host, c.url, c.seen, c.page_type, c.title AS page_title, c.page_i
 """
 
 
-def documents(spark, sf_dir):
-    """Documents by way of their JSON, with the folder each would lie in."""
+def documents(spark, sf_dir, with_blocks=True):
+    """Documents by way of their JSON, with the folder each would lie in; without blocks for what is made from their heads alone."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     host = F.concat(F.lit("h"), (cust % 40).cast("string"), F.lit(".example"))
     at = F.date_format(F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + key % 86400), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -35,14 +35,16 @@ def documents(spark, sf_dir):
         F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("head "), F.col("l_suppkey").cast("string"))).otherwise("").alias("headline"), F.when(F.col("l_linenumber") % 2 == 0, "mobile").otherwise("desktop").alias("viewport"),
         F.when(F.col("l_partkey") % 4 != 0, F.concat(F.lit("f"), F.col("l_linenumber").cast("string"), F.lit(".png"))).alias("file"), (F.col("l_linenumber") % 3).alias("buttons"),
     )
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_returnflag", "l_quantity", "l_partkey", "l_suppkey")])
+    # dealt out once, by what both groupings and the join agree on
+    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_returnflag", "l_quantity", "l_partkey", "l_suppkey")])
     blocks = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(block)).alias("blocks"))
     theme = F.when(key % 3 == 0, '{"name": "Dawn"}').when(key % 3 == 1, '{"schema_name": "Sense"}')
     site = F.struct(host.alias("host"), F.nullif("o_orderstatus", F.lit("P")).alias("platform"), theme.alias("theme"), F.array(F.concat(F.lit("app"), (key % 4).cast("string"))).alias("apps"))
     page = F.struct(url.alias("url"), F.when(F.col("o_orderstatus") == "F", "home").otherwise("product").alias("type"), at.alias("capturedAt"), F.concat(F.lit("t\u0000 "), F.col("o_orderpriority")).alias("title"))
     view = F.struct(F.when(key % 6 == 0, "timeout").alias("error"))
     folder = F.concat(F.lit("/data/"), host, F.lit("/"), key.cast("string")).alias("folder")
-    made = table(spark, sf_dir, "orders").join(blocks, "o_orderkey", "left").select(
+    orders = table(spark, sf_dir, "orders")
+    made = (orders.join(blocks, "o_orderkey", "left") if with_blocks else orders.withColumn("blocks", F.array().cast(blocks.schema["blocks"].dataType))).select(
         "o_orderkey", folder, F.to_json(F.struct(site.alias("site"), page.alias("page"), F.struct(view.alias("desktop")).alias("viewports"), F.coalesce("blocks", F.array()).alias("blocks"))).alias("document")
     )
     return made.select("o_orderkey", F.from_json("document", schemas.struct(schemas.MANIFEST)).alias("d"), "folder").select("o_orderkey", "d.*", "folder")
@@ -103,8 +105,8 @@ def manifest_samples(spark, sf_dir):
 )
 def api_blocks(spark, sf_dir):
     """The projection of blocks that an API answers with."""
-    docs = documents(spark, sf_dir)
-    found = manifests.api_items(manifests.block_rows(docs), manifests.capture_rows(docs), manifests.page_rows(docs), manifests.site_rows(docs))
+    docs, heads = documents(spark, sf_dir), documents(spark, sf_dir, with_blocks=False)
+    found = manifests.api_items(manifests.block_rows(docs), manifests.capture_rows(heads), manifests.page_rows(heads), manifests.site_rows(heads))
     return found.select("id", "host", "page_title", "platform", "src", "buttons", "images", "text")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern import schemas
 from quern.functions.text import clean, js_round
+from quern.operators.joins import small
 from quern.operators.versions import first_per_key
 from quern.sources import commits
 
@@ -88,12 +89,14 @@ def capture_rows(manifests: DataFrame) -> DataFrame:
 
 
 def block_rows(manifests: DataFrame) -> DataFrame:
-    """Blocks: rounded geometry, empty headlines as null, no NUL characters."""
+    """Blocks: rounded geometry, empty headlines as null, no NUL characters.
+
+    They are dealt out once, by their capture, which their id tells.
+    """
     pid = page_id(F.col("site.host"), F.col("page.url"))
     rows = manifests.select(F.sha1(F.concat_ws("\u0001", pid, F.col("page.capturedAt"))).alias("capture_id"), F.explode("blocks").alias("b"))
     b = lambda c: F.col(f"b.{c}")
     out = rows.select(
-        F.sha1(F.concat_ws("\u0001", "capture_id", b("viewport"), b("index").cast("string"))).alias("id"),
         "capture_id",
         b("viewport").alias("viewport"),
         b("index").alias("block_index"),
@@ -106,8 +109,9 @@ def block_rows(manifests: DataFrame) -> DataFrame:
         b("videos").alias("videos"),
         b("bg").alias("background"),
         b("file").alias("file"),
-    )
-    return out.dropDuplicates(["id"])
+    ).repartition("capture_id")
+    block_id = F.sha1(F.concat_ws("\u0001", "capture_id", "viewport", F.col("block_index").cast("string")))
+    return out.select(block_id.alias("id"), "*").dropDuplicates(["capture_id", "id"])
 
 
 def with_images(blocks: DataFrame, sidecars: DataFrame, folder: str, file: str) -> DataFrame:
@@ -157,7 +161,8 @@ def sample_items(manifests: DataFrame, most: int = 400) -> DataFrame:
 
 
 def api_items(blocks: DataFrame, captures: DataFrame, pages: DataFrame, sites: DataFrame, most: int = 400) -> DataFrame:
-    """The one block projection of the API."""
-    rows = blocks.join(captures.select("capture_id", "page_id", "captured_at"), "capture_id").join(pages.select("page_id", "host", "page_type", "url", F.col("title").alias("page_title")), "page_id").join(sites.select("host", "platform", "theme", "apps"), "host")
+    """The one block projection of the API (P1, J1): blocks meet what is known of their capture in one join."""
+    known = captures.select("capture_id", "page_id", "captured_at").join(pages.select("page_id", "host", "page_type", "url", F.col("title").alias("page_title")), "page_id").join(small(sites.select("host", "platform", "theme", "apps")), "host")
+    rows = blocks.join(known, "capture_id")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return rows.select("id", "host", "page_type", "url", "page_title", "viewport", "type_hint", "headline", "background", "width", "height", F.col("file").alias("src"), "platform", "theme", F.coalesce("apps", F.array().cast("array<string>")).alias("apps"), zero("buttons"), zero("images"), zero("videos"), F.substring(F.coalesce("text", F.lit("")), 1, most).alias("text"), "captured_at", "block_index")
