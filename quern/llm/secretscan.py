@@ -58,6 +58,8 @@ KINDS = ("assign", "access", "hex", "model")
 #: A character of a candidate, or one beyond ASCII.
 RUN = r"[^\x00-\x2A\x2C\x2E\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]"
 ALPHABET = "+-/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"
+#: The same class with each ASCII character that is none named by itself: Java looks one up in a table then, and goes through ranges one by one, 25 times as slowly.
+LOOKED_UP = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if chr(c) not in ALPHABET) + "]"
 FIRST, WIDTH = 43, 80
 LEAST_RUN, LEAST_WORD, LEAST_DOCS, SAMPLES, ODDS = 20, 8, 3, 1024, 20
 
@@ -136,7 +138,7 @@ def ordinary_words(docs: DataFrame, text: str = "text", least_docs: int = LEAST_
     base = f"{ASSIGN}|{ACCESS}|{HEX}"
     t = F.col(text)
     rest = F.when(t.rlike(base), F.regexp_replace(t, base, " ")).otherwise(t)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(f"{RUN}{{{LEAST_WORD},}}"), F.lit(0)))).alias("word"))
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(f"{LOOKED_UP}{{{LEAST_WORD},}}"), F.lit(0)))).alias("word"))
     held = words.where(F.length("word") == F.octet_length("word")).groupBy("word").agg(F.count("*").alias("docs"))
     return held.where(F.col("docs") >= least_docs).select("word")
 
@@ -186,13 +188,13 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return F.when(F.size(found) > 0, _let(between, cut)).otherwise(F.array(F.struct(F.lit(0).alias("start"), t.alias("body"))))
 
     random = lambda m: (F.length(m["body"]) == F.octet_length(m["body"])) & ~m["body"].rlike(f"{HEX}|{ACCESS}") & (model.score(m["body"]) >= model.odds)
-    runs = lambda g: F.filter(located(g["body"], f"{RUN}{{{LEAST_RUN},}}"), random)
+    runs = lambda g: F.filter(located(g["body"], f"{LOOKED_UP}{{{LEAST_RUN},}}"), random)
     moved = lambda g: F.transform(runs(g), lambda m: F.struct((m["start"] + g["start"]).alias("start"), F.lit(KINDS.index("model")).alias("kind"), (m["end"] + g["start"]).alias("end")))
     found = F.concat(
         _spans(F.filter("__assign", long_value), "assign"),
         _spans(located(t, ACCESS), "access"),
         _spans(located(t, HEX), "hex"),
-        F.when(t.rlike(f"{RUN}{{{LEAST_RUN},}}"), F.flatten(F.transform(gaps(F.col("__assign")), moved))).otherwise(F.array().cast(_SPANS)),
+        F.when(t.rlike(f"{LOOKED_UP}{{{LEAST_RUN},}}"), F.flatten(F.transform(gaps(F.col("__assign")), moved))).otherwise(F.array().cast(_SPANS)),
     )
     return rows.select(*kept, F.sort_array(found).alias("spans")).withColumnsRenamed(back)
 
