@@ -91,11 +91,19 @@ def items_in_order(items: DataFrame, rows: DataFrame, item: str, row_id: str, po
     return items.join(rows, items[item] == rows[row_id]).orderBy(position, created, row_id)
 
 
-def other_hosts(df: DataFrame, keys: list[str], host: str, row_id: str) -> DataFrame:
-    """Pairs of rows that agree on keys and are of different hosts."""
-    a = df.select(*keys, F.col(host).alias("host_a"), F.col(row_id).alias("a"))
-    b = df.select(*keys, F.col(host).alias("host_b"), F.col(row_id).alias("b"))
-    return a.join(b, keys).where("host_a <> host_b")
+def other_hosts(df: DataFrame, keys: list[str], host: str, row_id: str, chunk: int = 512) -> DataFrame:
+    """Pairs of rows that agree on keys and are of different hosts.
+
+    The pairs are as many as a group's size squared. So a group is cut into
+    chunks of ``chunk`` rows or so, and each pair of chunks is a key of its own:
+    a task holds some chunks, never a whole large group.
+    """
+    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).cast("int").alias("__parts"))
+    dealt = df.join(small(sizes), keys).withColumn("__own", F.pmod(F.xxhash64(host, row_id), F.col("__parts")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))
+    a = dealt.select(*keys, F.col(host).alias("host_a"), F.col(row_id).alias("a"), F.col("__own").alias("__x"), each.alias("__y"))
+    b = dealt.select(*keys, F.col(host).alias("host_b"), F.col(row_id).alias("b"), each.alias("__x"), F.col("__own").alias("__y"))
+    return a.join(b.hint("merge"), [*keys, "__x", "__y"]).where("host_a <> host_b").drop("__x", "__y")
 
 
 def trigrams(word: Column) -> Column:
